@@ -1,9 +1,11 @@
 """The queries of the corpus operators and the SQL that some are checked against."""
 
 from corvane.llm.bpe import op4_bpe
+from corvane.llm.langid import op2_language_id
 from corvane.llm.token_files import op8_token_files
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op4_bpe": op4_bpe,
     "op8_token_files": op8_token_files,
 }
