@@ -2,9 +2,11 @@
 
 from corvane.llm.bpe import op4_bpe
 from corvane.llm.langid import op2_language_id
+from corvane.llm.quality import op1_quality
 from corvane.llm.token_files import op8_token_files
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_language_id": op2_language_id,
     "op4_bpe": op4_bpe,
     "op8_token_files": op8_token_files,
