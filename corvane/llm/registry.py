@@ -2,14 +2,21 @@
 
 from corvane.llm.bpe import op4_bpe
 from corvane.llm.langid import op2_language_id
+from corvane.llm.mixing import SQL as MIXING_SQL
+from corvane.llm.mixing import op7_mixing
 from corvane.llm.quality import op1_quality
+from corvane.llm.rules import op3_quality_rules
 from corvane.llm.token_files import op8_token_files
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_language_id": op2_language_id,
+    "op3_quality_rules": op3_quality_rules,
     "op4_bpe": op4_bpe,
+    "op7_mixing": op7_mixing,
     "op8_token_files": op8_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_mixing": MIXING_SQL,
+}
