@@ -6,6 +6,7 @@ from corvane.llm.mixing import SQL as MIXING_SQL
 from corvane.llm.mixing import op7_mixing
 from corvane.llm.quality import op1_quality
 from corvane.llm.rules import op3_quality_rules
+from corvane.llm.simhash import op9_simhash
 from corvane.llm.token_files import op8_token_files
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op7_mixing": op7_mixing,
     "op8_token_files": op8_token_files,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
