@@ -4,6 +4,7 @@ from corvane.llm.bpe import op4_bpe
 from corvane.llm.langid import op2_language_id
 from corvane.llm.mixing import SQL as MIXING_SQL
 from corvane.llm.mixing import op7_mixing
+from corvane.llm.passages import op10_passages
 from corvane.llm.quality import op1_quality
 from corvane.llm.rules import op3_quality_rules
 from corvane.llm.simhash import op9_simhash
@@ -17,6 +18,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_token_files": op8_token_files,
     "op9_simhash": op9_simhash,
+    "op10_passages": op10_passages,
 }
 
 ORACLE_SQL: dict[str, str] = {
