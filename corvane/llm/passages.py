@@ -6,7 +6,8 @@ together have as many. A sentence also ends where text was pasted into text: bef
 Whole lines are units too. A shorter rest between two removed units of a line goes with them.
 Units are compared in lower case, letters and digits only, by 128-bit digests grouped over the whole corpus.
 The occurrence in the document with the smallest doc_id, and there the first, is kept; the others are removed.
-Their offsets in the original text (code points) are retained in ``removed``.
+Their offsets in the original text (code points) are retained in ``removed``, with the document that keeps the passage
+(for a repeat within one text, that document itself).
 
 Only digests and offsets are shuffled to find repeats: once combined to one row a digest, once to meet the digests
 that repeat, which are unique on their side, so a digest that a third of all rows hold is streamed, and its partition split by AQE.

@@ -9,12 +9,15 @@ from corvane.llm.quality import op1_quality
 from corvane.llm.rules import op3_quality_rules
 from corvane.llm.simhash import op9_simhash
 from corvane.llm.token_files import op8_token_files
+from corvane.llm.topk import SQL as TOPK_SQL
+from corvane.llm.topk import op5_topk
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
     "op4_bpe": op4_bpe,
+    "op5_topk": op5_topk,
     "op7_mixing": op7_mixing,
     "op8_token_files": op8_token_files,
     "op9_simhash": op9_simhash,
@@ -22,5 +25,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_topk": TOPK_SQL,
     "op7_mixing": MIXING_SQL,
 }

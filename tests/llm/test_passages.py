@@ -38,10 +38,11 @@ def brute(docs):
     """Removal by the definition: the first occurrence by (doc_id, start) stays."""
     first, out = {}, {}
     for d, t in sorted(docs):
-        spans = []
+        spans, own = [], set()
         for s, e, *h in next(p.units([t])) if t else []:
             if first.setdefault(tuple(h), (d, s)) != (d, s):
-                spans.append((s, e, first[tuple(h)][0]))
+                spans.append((s, e, d if tuple(h) in own else first[tuple(h)][0]))
+            own.add(tuple(h))
         out[d] = sorted(set(spans))
     return out
 
