@@ -1,6 +1,7 @@
 """The queries of the corpus operators and the SQL that some are checked against."""
 
 from corvane.llm.bpe import op4_bpe
+from corvane.llm.html import op6_html
 from corvane.llm.langid import op2_language_id
 from corvane.llm.mixing import SQL as MIXING_SQL
 from corvane.llm.mixing import op7_mixing
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_bpe": op4_bpe,
     "op5_topk": op5_topk,
+    "op6_html": op6_html,
     "op7_mixing": op7_mixing,
     "op8_token_files": op8_token_files,
     "op9_simhash": op9_simhash,
