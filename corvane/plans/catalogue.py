@@ -1,4 +1,462 @@
-"""The registered queries and the SQL each is checked against."""
+"""The registered queries over the reference operators, and the SQL each is checked against."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.functions import columns as C
+from corvane.functions import text as T
+from corvane.operators import catalog, checks, ingest, library, search, stats
+from corvane.session import table
+from corvane.sources.entries import ENTRIES_SQL, REDIRECTS_SQL, entries, redirects
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+_E, _R = f"WITH {ENTRIES_SQL} ", f"WITH {ENTRIES_SQL}, {REDIRECTS_SQL} "
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Scans, lookups and browsing
+
+
+@query(_E + "SELECT entry_id, path, title, mime_type, is_front, size FROM entries")
+def entries_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return entries(spark, sf).select("entry_id", "path", "title", "mime_type", "is_front", "size")
+
+
+@query(f"WITH {REDIRECTS_SQL} SELECT archive, redirect_id, path, target_id FROM redirects")
+def redirects_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return redirects(spark, sf)
+
+
+@query(_R + """, a AS (SELECT entry_id, path, mime_type, size FROM entries UNION ALL SELECT redirect_id, path, '', 0 FROM redirects)
+SELECT entry_id, path, mime_type, size, row_number() OVER (ORDER BY path, entry_id) AS rank FROM a""")
+def entries_by_path_order(spark: SparkSession, sf: str) -> DataFrame:
+    rows = catalog.with_redirects(entries(spark, sf), redirects(spark, sf)).drop("is_redirect")
+    return catalog.ranked(rows, "path", "entry_id")
+
+
+@query(_E + "SELECT entry_id, path, title, size FROM entries WHERE entry_id = 401")
+def entry_by_id(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.by_id(entries(spark, sf), 401).select("entry_id", "path", "title", "size")
+
+
+@query(_E + "SELECT entry_id, path, title, size FROM entries WHERE path = 'conv/3/1'")
+def entry_by_path(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.by_path(entries(spark, sf), "conv/3/1").select("entry_id", "path", "title", "size")
+
+
+@query(_E + "SELECT entry_id, path, title, size FROM entries WHERE title = 'user' ORDER BY entry_id LIMIT 1")
+def entry_by_title(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.by_title(entries(spark, sf), "user").select("entry_id", "path", "title", "size")
+
+
+@query(_E + "SELECT archive, entry_id, path FROM entries WHERE is_front")
+def front_articles(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.front(entries(spark, sf)).select("archive", "entry_id", "path")
+
+
+@query(_E + "SELECT entry_id, path FROM entries WHERE mime_type = 'text/html'")
+def entries_by_mime(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.by_mime(entries(spark, sf), "text/html").select("entry_id", "path")
+
+
+@query(_E + "SELECT mime_type, count(*) AS entries FROM entries GROUP BY 1")
+def entry_count_by_mime(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.count_by_mime(entries(spark, sf))
+
+
+@query(_E + "SELECT entry_id, title FROM entries ORDER BY title, entry_id LIMIT 50 OFFSET 100")
+def browse_titles(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.browse_titles(entries(spark, sf).select("entry_id", "title"), 100)
+
+
+_LETTER = "CASE WHEN title = '' THEN NULL WHEN regexp_matches(substring(title, 1, 1), '^[A-Za-z]$') THEN upper(substring(title, 1, 1)) ELSE '#' END"
+
+
+@query(_E + f"SELECT letter, count(*) AS entries FROM (SELECT {_LETTER} AS letter FROM entries) WHERE letter IS NOT NULL GROUP BY 1")
+def letter_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.letter_counts(entries(spark, sf))
+
+
+@query(_E + f"SELECT entry_id, title FROM entries WHERE {_LETTER} = 'T' ORDER BY title, entry_id LIMIT 50")
+def browse_letter(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.browse_letter(entries(spark, sf).select("entry_id", "title"), "T")
+
+
+@query(
+    _R.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, walk AS (SELECT redirect_id, target_id AS t, 0 AS hops FROM redirects UNION ALL SELECT w.redirect_id, r.target_id, hops + 1 FROM walk w JOIN redirects r ON w.t = r.redirect_id)
+SELECT w.redirect_id, w.t AS entry_id, 'resolved' AS status FROM walk w JOIN entries e ON e.entry_id = w.t"""
+)
+def redirect_resolve(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.resolve(redirects(spark, sf), entries(spark, sf))
+
+
+_LOOPS = [(101, 102), (102, 103), (103, 7), (104, 104), (105, 106), (106, 105), (107, 105), (108, 999)]
+
+
+@query(f"SELECT * FROM (VALUES (101, 7, 'resolved'), (102, 7, 'resolved'), (103, 7, 'resolved'), (104, NULL, 'loop'), (105, NULL, 'loop'), (106, NULL, 'loop'), (107, NULL, 'loop'), (108, NULL, 'broken')) t(redirect_id, entry_id, status) -- {_LOOPS}")
+def redirect_loops(spark: SparkSession, sf: str) -> DataFrame:
+    """A chain, a self loop, a loop of two, one that leads into it and a dangling target."""
+    return catalog.resolve(spark.createDataFrame(_LOOPS, "redirect_id long, target_id long"), spark.createDataFrame([(7,)], "entry_id long"))
+
+
+@query()
+def random_front(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.random_front(entries(spark, sf).select("archive", "entry_id", "path", "title", "is_front"), 11, per_archive=True)
+
+
+# Statistics
+
+
+@query(_E + "SELECT mime_type, count(*) AS entries, sum(size)::BIGINT AS total_bytes, round(avg(size), 4) AS avg_bytes, min(size) AS min_bytes, max(size) AS max_bytes FROM entries GROUP BY 1")
+def mime_census(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.mime_census(entries(spark, sf))
+
+
+@query(_R + "SELECT count(*) AS content_entries, count_if(is_front)::BIGINT AS front_articles, sum(size)::BIGINT AS total_bytes, (SELECT count(*) FROM redirects) AS redirects FROM entries")
+def entry_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.entry_stats(entries(spark, sf), redirects(spark, sf))
+
+
+_GROUP = "CASE WHEN mime_type = 'text/html' THEN 'html' ELSE 'other' END"
+_KEY = f"CASE WHEN size < 4096 THEN {_GROUP} || '-small' ELSE {_GROUP} END"
+_BUCKETS = f""", k AS (SELECT archive, entry_id, path, size, {_KEY} AS chunk_key FROM entries),
+c AS (SELECT *, floor(coalesce(sum(size) OVER (PARTITION BY archive, chunk_key ORDER BY path, entry_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE / 65536)::BIGINT AS chunk FROM k),
+o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY archive, chunk_key, chunk ORDER BY path, entry_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS blob_offset FROM c) """
+
+
+@query(_E + f"SELECT mime_type, {_KEY} AS chunk_key, count(*) AS n FROM entries GROUP BY 1, 2")
+def chunk_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return entries(spark, sf).groupBy("mime_type", C.chunk_key(F.col("mime_type"), F.col("size")).alias("chunk_key")).agg(F.count("*").alias("n"))
+
+
+@query(_E + _BUCKETS + "SELECT archive, entry_id, chunk_key, chunk, blob_offset FROM o")
+def blob_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.bucket_chunks(entries(spark, sf), 1 << 16).select("archive", "entry_id", "chunk_key", "chunk", "blob_offset")
+
+
+@query(_E + _BUCKETS + "SELECT count(*) AS chunks, round(avg(n), 4) AS avg_entries, min(n) AS min_entries, max(n) AS max_entries FROM (SELECT count(*) AS n FROM o GROUP BY archive, chunk_key, chunk)")
+def chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
+    rows = ingest.bucket_chunks(entries(spark, sf), 1 << 16)
+    return stats.chunk_stats(rows.withColumn("chunk", F.struct("archive", "chunk_key", "chunk")))
+
+
+@query()
+def chunk_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.pack_chunks(entries(spark, sf), 1 << 16)
+
+
+@query(_E + f"SELECT entry_id, row_number() OVER (ORDER BY {_KEY}, path, entry_id) - 1 AS id FROM entries")
+def entry_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.assign_ids(entries(spark, sf)).select("entry_id", "id")
+
+
+def _sections(spark: SparkSession, sf: str) -> DataFrame:
+    """A section of content for each MIME group, of paths and of titles, as large as they are here."""
+    e = entries(spark, sf)
+    content = e.groupBy(F.lit("CONTENT").alias("type_name"), "mime_type").agg(F.sum("size").alias("compressed_size"))
+    keys = e.select(F.explode(F.array(F.struct(F.lit("PATH_INDEX").alias("t"), F.octet_length("path").alias("n")), F.struct(F.lit("SEARCH_TITLE").alias("t"), F.octet_length("title").alias("n")))).alias("x"))
+    keys = keys.groupBy(F.col("x.t").alias("type_name")).agg(F.sum(F.col("x.n").cast("long")).alias("compressed_size"))
+    rows = content.groupBy("type_name").agg(F.sum("compressed_size").alias("compressed_size")).unionByName(keys)
+    return rows.withColumn("uncompressed_size", F.col("compressed_size") * 2)
+
+
+_SECTIONS = _E + """, s AS (SELECT 'CONTENT' AS type_name, sum(size)::BIGINT AS compressed_size FROM entries UNION ALL SELECT 'PATH_INDEX', sum(strlen(path))::BIGINT FROM entries UNION ALL SELECT 'SEARCH_TITLE', sum(strlen(title))::BIGINT FROM entries) """
+
+
+@query(_SECTIONS + "SELECT sum(compressed_size)::BIGINT AS compressed, sum(2 * compressed_size)::BIGINT AS uncompressed, 0.5::DOUBLE AS ratio FROM s")
+def section_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.section_summary(_sections(spark, sf))
+
+
+@query(_SECTIONS + """, c AS (SELECT *, CASE type_name WHEN 'CONTENT' THEN 'content' WHEN 'SEARCH_TITLE' THEN 'search' ELSE 'overhead' END AS category FROM s)
+SELECT type_name, compressed_size, category, round(100 * compressed_size / 1e9::DOUBLE, 4) AS pct_of_file, round(100 * (sum(compressed_size) OVER (PARTITION BY category) / sum(compressed_size) OVER ()::DOUBLE), 4) AS category_pct FROM c""")
+def size_budget(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.size_budget(_sections(spark, sf), 1_000_000_000)
+
+
+@query(_SECTIONS + "SELECT type_name, coalesce(sum(compressed_size) OVER (ORDER BY type_name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + 128 AS \"offset\" FROM s")
+def section_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.running_offsets(_sections(spark, sf), "type_name", "compressed_size", 128).select("type_name", "offset")
+
+
+@query(_E + """, a AS (SELECT mime_type, count(*) AS n FROM entries WHERE archive = 'src0' GROUP BY 1), b AS (SELECT mime_type, count(*) AS n FROM entries WHERE archive IN ('src1', 'pages') GROUP BY 1)
+SELECT coalesce(a.mime_type, b.mime_type) AS mime_type, coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta FROM a FULL JOIN b ON a.mime_type = b.mime_type""")
+def mime_count_compare(spark: SparkSession, sf: str) -> DataFrame:
+    e = entries(spark, sf)
+    return stats.compare_mime(e.filter("archive = 'src0'"), e.filter("archive IN ('src1', 'pages')"))
+
+
+def _metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """Metadata of each source, some of it wrong on purpose by the source's number."""
+    n = F.substring("source", 4, 9).cast("int")
+    base = table(spark, sf, "documents").groupBy("source").agg(F.min("lang").alias("lang"), F.count("*").alias("n"))
+    pairs = [
+        ("title", F.when(n % 7 == 3, "  ").otherwise(F.concat(F.lit("Collection "), "source"))), ("language", F.when(n % 5 == 1, F.upper("lang")).when(n % 5 == 2, "english-x").otherwise(F.col("lang"))),
+        ("creator", F.lit("someone")), ("date", F.when(n % 3 == 0, "2024-13-45").when(n % 3 == 1, "2024-02-29").otherwise("2024-02-29T10:00:00Z")),
+        ("source", F.when(n % 4 == 2, None).otherwise(F.concat(F.lit("https://"), F.when(n % 6 == 0, "en.wikipedia.org").when(n % 6 == 1, "askubuntu.stackexchange.com").otherwise("example.org")))), ("entries", F.col("n").cast("string")),
+    ]
+    rows = base.select(F.col("source").alias("archive"), F.explode(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs])).alias("p"))
+    return rows.select("archive", "p.*").filter("value IS NOT NULL")
+
+
+_METADATA = """WITH b AS (SELECT source AS archive, substring(source, 4)::INTEGER AS k, min(lang) AS lang, count(*) AS n FROM documents GROUP BY 1, 2),
+m AS (SELECT archive, 'title' AS key, CASE WHEN k % 7 = 3 THEN '  ' ELSE 'Collection ' || archive END AS value FROM b
+  UNION ALL SELECT archive, 'language', CASE WHEN k % 5 = 1 THEN upper(lang) WHEN k % 5 = 2 THEN 'english-x' ELSE lang END FROM b
+  UNION ALL SELECT archive, 'creator', 'someone' FROM b
+  UNION ALL SELECT archive, 'date', CASE k % 3 WHEN 0 THEN '2024-13-45' WHEN 1 THEN '2024-02-29' ELSE '2024-02-29T10:00:00Z' END FROM b
+  UNION ALL SELECT archive, 'source', 'https://' || CASE k % 6 WHEN 0 THEN 'en.wikipedia.org' WHEN 1 THEN 'askubuntu.stackexchange.com' ELSE 'example.org' END FROM b WHERE k % 4 <> 2
+  UNION ALL SELECT archive, 'entries', n::VARCHAR FROM b) """
+
+
+@query(_METADATA + """, a AS (SELECT key, value FROM m WHERE archive = 'src0'), c AS (SELECT key, value FROM m WHERE archive = 'src1')
+SELECT * FROM (SELECT coalesce(a.key, c.key) AS key, coalesce(a.value, '') AS value_a, coalesce(c.value, '') AS value_b FROM a FULL JOIN c ON a.key = c.key) WHERE value_a <> value_b""")
+def metadata_compare(spark: SparkSession, sf: str) -> DataFrame:
+    m = _metadata(spark, sf)
+    return stats.compare_metadata(m.filter("archive = 'src0'"), m.filter("archive = 'src1'"))
+
+
+@query(_METADATA + """SELECT archive, key, message FROM (
+  SELECT archive, key, 'must not be empty' AS message FROM m WHERE key IN ('title', 'creator', 'source') AND trim(value) = ''
+  UNION ALL SELECT archive, key, 'not an ISO 8601 date' FROM m WHERE key = 'date' AND value = '2024-13-45'
+  UNION ALL SELECT archive, key, 'primary subtag must have 2 or 3 letters' FROM m WHERE key = 'language' AND length(split_part(value, '-', 1)) NOT BETWEEN 2 AND 3
+  UNION ALL SELECT archive, key, 'primary subtag must be lower case' FROM m WHERE key = 'language' AND length(split_part(value, '-', 1)) BETWEEN 2 AND 3 AND NOT regexp_full_match(split_part(value, '-', 1), '[a-z]+')
+  UNION ALL SELECT archive, 'source', 'required key missing' FROM b WHERE k % 4 = 2)""")
+def validate_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    return checks.validate_metadata(_metadata(spark, sf))
+
+
+@query(_METADATA + "SELECT archive, CASE WHEN value LIKE '%wikipedia%' THEN 'wikipedia' WHEN value LIKE '%stackexchange%' THEN 'stackexchange' ELSE '' END AS hint FROM m WHERE key = 'source'")
+def source_hint(spark: SparkSession, sf: str) -> DataFrame:
+    return _metadata(spark, sf).filter("key = 'source'").select("archive", stats.source_hint("value").alias("hint"))
+
+
+@query(_R + """, c AS (SELECT archive, mime_type, count(*) AS n, sum(size) AS size FROM entries GROUP BY 1, 2),
+f AS (SELECT archive, sum(n) AS n, sum(size) AS total, sum(size) FILTER (mime_type LIKE 'text/%') AS text, sum(size) FILTER (mime_type = 'text/html') AS html, sum(CASE WHEN size / n < 4096 THEN n ELSE 0 END) AS small FROM c GROUP BY 1),
+r AS (SELECT f.*, coalesce(d.r, 0) AS red FROM f LEFT JOIN (SELECT archive, count(*) AS r FROM redirects GROUP BY 1) d USING (archive)),
+x AS (SELECT archive, coalesce(text, 0) / total::DOUBLE AS t, coalesce(html, 0) / total::DOUBLE AS h, red / (red + n)::DOUBLE AS rd, total / n::DOUBLE AS av, small / n::DOUBLE AS sm FROM r)
+SELECT archive, round(rd, 6) AS redirect_density, CASE WHEN rd > 0.35 AND sm > 0.5 AND t > 0.7 THEN 'dictionary' WHEN av > 50000 AND rd < 0.15 AND t > 0.5 THEN 'books' WHEN t > 0.8 AND av < 50000 AND rd < 0.05 THEN 'docs' WHEN h > 0.3 AND rd > 0.05 THEN 'encyclopedia' ELSE 'mixed-scrape' END AS profile,
+round(CASE WHEN rd > 0.35 AND sm > 0.5 AND t > 0.7 THEN least(1, 0.5 + rd / 2 + sm / 4) WHEN av > 50000 AND rd < 0.15 AND t > 0.5 THEN least(1, 0.6 + least(av / 200000, 0.3)) WHEN t > 0.8 AND av < 50000 AND rd < 0.05 THEN least(1, 0.6 + t / 4) WHEN h > 0.3 AND rd > 0.05 THEN least(1, 0.6 + h / 4) ELSE 0.5 END, 6) AS confidence FROM x""")
+def classify_profile(spark: SparkSession, sf: str) -> DataFrame:
+    rows = stats.features(entries(spark, sf), redirects(spark, sf)).withColumn("hint", F.lit(""))
+    return stats.classify(rows).select("archive", F.round("redirect_density", 6).alias("redirect_density"), "profile", "confidence")
+
+
+# Deduplication, integrity and versions
+
+
+@query(_E + "SELECT entry_id, min(entry_id) OVER (PARTITION BY sha256(content)) AS blob_owner FROM entries")
+def dedup_first_occurrence(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.first_occurrences(entries(spark, sf)).select("entry_id", "blob_owner")
+
+
+@query(_E + ", d AS (SELECT mime_type, sha256(content) AS h, count(*) AS n, max(size) AS size FROM entries GROUP BY 1, 2) SELECT mime_type, sum(n)::BIGINT AS entries, count(*) AS contents, sum((n - 1) * size)::BIGINT AS saved_bytes FROM d GROUP BY 1")
+def dedup_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.dedup_stats(entries(spark, sf))
+
+
+@query(_E + "SELECT CASE WHEN entry_id % 10 = 0 THEN false ELSE true END AS ok, 'entry' AS tier, count(*) AS n FROM entries GROUP BY 1, 2")
+def verify_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Every tenth recorded digest is that of other content."""
+    e = entries(spark, sf)
+    recorded = e.select("entry_id", F.sha2(F.when(F.col("entry_id") % 10 == 0, F.concat("content", F.lit("x"))).otherwise(F.col("content")), 256).alias("digest"))
+    return checks.verify_summary(checks.verify_entries(e, recorded).withColumn("tier", F.lit("entry")))
+
+
+@query(_E + ", r AS (SELECT path, entry_id FROM entries) SELECT path, CASE WHEN entry_id % 9 = 0 THEN 'removed' WHEN entry_id % 9 = 1 THEN 'added' WHEN entry_id % 9 = 2 THEN 'modified' ELSE 'unchanged' END AS status FROM (SELECT path, min(entry_id) AS entry_id FROM r GROUP BY 1)")
+def incremental_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Extension. The new version lacks some entries, has others besides, and changes some."""
+    e = entries(spark, sf).groupBy("path").agg(F.min_by("content", "entry_id").alias("content"), F.min("entry_id").alias("entry_id"))
+    new = e.filter("entry_id % 9 != 0").withColumn("content", F.when(F.col("entry_id") % 9 == 2, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    return stats.incremental_diff(e.filter("entry_id % 9 != 1"), new)
+
+
+# Search
+
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_VISIBLE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '<script[^>]*>.*?</script>', chr(1), 'gs'), '<style[^>]*>.*?</style>', chr(1), 'gs'), '<!--.*?-->', chr(1), 'gs'), '<[^>]*>', chr(1), 'g')"
+
+
+def _has(text: str, words: str, verify: bool = False) -> str:
+    parts = [words] if verify else [words[i : i + 3] for i in range(len(words) - 2)]
+    return " AND ".join(f"contains({_FOLD.format(text)}, '{p}')" for p in dict.fromkeys(parts))
+
+
+def _hits(words: str, verify: bool = False) -> str:
+    return _E + rf""", v AS (SELECT archive, entry_id, title, title || ' ' || path AS head,
+      CASE WHEN mime_type = 'text/html' THEN array_to_string(list_filter(string_split({_VISIBLE}, chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> ''), ' ') ELSE content END AS body FROM entries WHERE is_front),
+    h AS (SELECT archive, entry_id, {_has('title', words, verify)} AS title_match, ({_has('head', words, verify)}) OR ({_has('body', words, verify)}) AS body_match FROM v) """
+
+
+@query(_hits("that") + "SELECT archive, entry_id, title_match, body_match FROM h WHERE title_match OR body_match ORDER BY title_match DESC, entry_id LIMIT 20")
+def search_two_tier(spark: SparkSession, sf: str) -> DataFrame:
+    return search.search(entries(spark, sf), "that")
+
+
+@query(_hits("the of") + "SELECT archive, entry_id, title_match, body_match FROM h WHERE title_match OR body_match")
+def search_all_hits(spark: SparkSession, sf: str) -> DataFrame:
+    return search.scan(entries(spark, sf), "the of")
+
+
+@query(_hits("the of", True) + "SELECT archive, entry_id, title_match, body_match FROM h WHERE title_match OR body_match")
+def search_verified(spark: SparkSession, sf: str) -> DataFrame:
+    return search.scan(entries(spark, sf), "The Of", verify=True)
+
+
+@query(_E + f"SELECT archive, entry_id, true AS title_match, false AS body_match FROM entries WHERE is_front AND {_has('title', 'than')} ORDER BY entry_id LIMIT 20")
+def search_title(spark: SparkSession, sf: str) -> DataFrame:
+    return search.search(entries(spark, sf), "than", titles_only=True)
+
+
+@query(_hits("en la") + ", r AS (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY title_match DESC, entry_id) AS n FROM h WHERE title_match OR body_match) SELECT archive, entry_id, title_match, body_match FROM r WHERE n <= 3 ORDER BY archive, title_match DESC, entry_id LIMIT 40")
+def search_federated(spark: SparkSession, sf: str) -> DataFrame:
+    return search.federated(entries(spark, sf), "en la", 40, per_archive=3)
+
+
+@query()
+def search_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Through postings, not by scanning; the tests hold it against search_all_hits."""
+    posts = search.postings(search.sources(entries(spark, sf)))
+    return search.lookup(posts, "the of")
+
+
+_GRAMS = r""", g AS (SELECT DISTINCT entry_id, substring(h, 2 * i - 1, 6) AS gram FROM (SELECT entry_id, hex(encode({0})) AS h, unnest(range(1, strlen(title)::BIGINT - 1)) AS i FROM entries WHERE is_front AND strlen(title) >= 3)) """.format(_FOLD.format("title"))
+
+
+@query(_E + _GRAMS + "SELECT ('0x' || gram)::INTEGER AS gram, count(*) AS df FROM g GROUP BY 1")
+def trigram_title_df(spark: SparkSession, sf: str) -> DataFrame:
+    titles = search.sources(entries(spark, sf).withColumn("content", F.lit(""))).filter("idx = 'title'")
+    return search.document_frequency(search.postings(titles)).select("gram", "df")
+
+
+@query(_E + _GRAMS + "SELECT ('0x' || gram)::INTEGER AS gram, count(*) AS df FROM g GROUP BY 1 HAVING count(*) >= 20 AND count(*) >= 0.3 * (SELECT count(DISTINCT entry_id) FROM g)")
+def trigram_prune(spark: SparkSession, sf: str) -> DataFrame:
+    titles = search.sources(entries(spark, sf).withColumn("content", F.lit(""))).filter("idx = 'title'")
+    return search.pruned_grams(search.postings(titles), 0.3, 20).select("gram", "df")
+
+
+@query()
+def trigram_body_df(spark: SparkSession, sf: str) -> DataFrame:
+    return search.document_frequency(search.postings(search.sources(entries(spark, sf)).filter("idx = 'body'")))
+
+
+_CJK = [("日", [0xE697A5]), ("日本", [0xE697A5, 0xE69CAC, 0xA5E69C]), ("abcd", [0x616263, 0x626364]), ("日abc本", [0xE697A5, 0x616263, 0xE69CAC]), ("ab", [])]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {sorted(g) or 'CAST([] AS INTEGER[])'})" for t, g in _CJK) + ") t(text, grams)")
+def cjk_grams(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([(t,) for t, _ in _CJK], "text string")
+    grams = F.pandas_udf(lambda s: s.map(T.grams), "array<int>")
+    return rows.select("text", grams("text").alias("grams"))
+
+
+@query()
+def search_snippets(spark: SparkSession, sf: str) -> DataFrame:
+    e = entries(spark, sf)
+    return search.with_snippets(search.search(e, "that"), e, "that")
+
+
+# Text and name functions
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(
+regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', '', 'gs'), '<style[^>]*>.*?</style>', '', 'gs'), '<!--.*?-->', '', 'gs'),
+'</?(p|div|nav|ul|li|h1|article|footer|br)( [^>]*)?>', ' ', 'g'), '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&') AS t FROM pages)""")
+def strip_html(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", T.strip_html_udf("html").alias("text"))
+
+
+@query()
+def visible_text(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", T.visible_text_udf("html").alias("text"))
+
+
+@query()
+def markdown(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", T.markdown_udf("html").alias("text"))
+
+
+@query()
+def transform_content(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.transform(entries(spark, sf)).select("entry_id", "size")
+
+
+@query(r"""SELECT path, regexp_replace(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '[.]html$', ''), '(.)(_[0-9][^_]{3,})+$', '\1') AS slug FROM (SELECT 'lib/' || source || '_all_maxi_2024-0' || (doc_id % 9) || '.html' AS path FROM documents)""")
+def archive_slug(spark: SparkSession, sf: str) -> DataFrame:
+    path = F.concat(F.lit("lib/"), "source", F.lit("_all_maxi_2024-0"), (F.col("doc_id") % 9).cast("string"), F.lit(".html"))
+    return table(spark, sf, "documents").select(path.alias("path")).select("path", C.archive_slug(F.col("path"), ".html").alias("slug"))
+
+
+@query(_E + r"SELECT entry_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(title), '[ _.\-]+', '-', 'g'), '[^a-z0-9\-]', '', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM entries")
+def book_slug(spark: SparkSession, sf: str) -> DataFrame:
+    return entries(spark, sf).select("entry_id", C.book_slug(F.col("title")).alias("slug"))
+
+
+@query(_E + """SELECT entry_id, '"' || substring(sha256(archive || path), 1, 32) || '"' AS etag FROM entries""")
+def etag(spark: SparkSession, sf: str) -> DataFrame:
+    return entries(spark, sf).select("entry_id", C.etag(F.col("archive"), F.col("path")).alias("etag"))
+
+
+@query(_E + """, p AS (SELECT string_split(path, '/') AS p FROM entries), t AS (SELECT unnest(list_transform(p, lambda x, i: CASE WHEN i < len(p) THEN x || '/' ELSE x END)) AS token FROM p)
+SELECT token, count(*) AS n FROM t WHERE token <> '' GROUP BY 1 HAVING count(*) >= 3 ORDER BY n DESC, token LIMIT 65534""")
+def token_table(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.token_table(entries(spark, sf))
+
+
+@query(_E + "SELECT entry_id, regexp_full_match(title, '[\\t\\n\\r\\x20-\\x7e]*') = false AS is_binary FROM entries")
+def binary_titles(spark: SparkSession, sf: str) -> DataFrame:
+    return entries(spark, sf).select("entry_id", C.is_binary_text(F.col("title")).alias("is_binary"))
+
+
+@query("SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM documents")
+def html_escape(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", C.html_escape(F.col("text")).alias("escaped"))
+
+
+# Library
+
+
+@query(_E + "SELECT archive, count(*) AS entries, count_if(is_front)::BIGINT AS front_articles, sum(size)::BIGINT AS bytes, count_if(is_front) > 0 AS has_search FROM entries GROUP BY 1")
+def library_list(spark: SparkSession, sf: str) -> DataFrame:
+    return library.list_archives(entries(spark, sf))
+
+
+@query(_E + "SELECT count(DISTINCT archive) AS archives, count(*) AS entries, sum(size)::BIGINT AS bytes, count(*) * 48 AS index_bytes FROM entries")
+def library_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return library.totals(library.list_archives(entries(spark, sf)))
+
+
+@query(_E + "SELECT archive, mime_type, count(*) AS entries, sum(size)::BIGINT AS bytes FROM entries GROUP BY 1, 2")
+def archive_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return library.archive_stats(entries(spark, sf))
+
+
+@query("SELECT source AS archive, lang AS slug, count(*) AS entries FROM documents GROUP BY 1, 2")
+def catalog_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Catalogs are written as JSON, an item a language, and parsed again."""
+    per = table(spark, sf, "documents").groupBy(F.col("source").alias("archive"), "lang").agg(F.count("*").alias("entries"))
+    metadata = per.groupBy("archive").agg(F.to_json(F.collect_list(F.struct(F.col("lang").alias("slug"), "entries"))).alias("value")).withColumn("key", F.lit("catalog"))
+    return library.catalog_items(metadata).select("archive", "slug", "entries")
+
+
+@query("SELECT coalesce((SELECT lang FROM documents WHERE lang <> '' GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1), 'en') AS language")
+def language_mode(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.language_mode(table(spark, sf, "documents"))
+
+
+@query("SELECT base, source, CASE WHEN n > 1 THEN base || '_' || n ELSE base END AS slug FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY source) AS n FROM (SELECT DISTINCT source, substring(source, 1, 4) AS base FROM documents))")
+def unique_slugs(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "documents").select("source", F.substring("source", 1, 4).alias("base")).distinct()
+    return library.unique_slugs(rows, "base", "source").select("base", "source", "slug")
