@@ -14,30 +14,28 @@ from corvane.functions.columns import fold
 
 
 def sources(entries: DataFrame) -> DataFrame:
-    """idx, entry_id and text of what is indexed: front articles' titles; their title with the path, and content (markup off)."""
+    """archive, idx, entry_id and the texts that are indexed: front articles' titles; their title with the path, and content (markup off)."""
     front = entries.filter("is_front")
     body = F.when(F.col("mime_type").contains("html"), T.visible_text_udf(F.col("content"))).otherwise(F.col("content"))
     parts = F.array(
-        F.struct(F.lit("title").alias("idx"), F.col("title").alias("text")),
-        F.struct(F.lit("body").alias("idx"), F.concat_ws(" ", "title", "path").alias("text")),
-        F.struct(F.lit("body").alias("idx"), body.alias("text")),
+        F.struct(F.lit("title").alias("idx"), F.array("title").alias("texts")),
+        F.struct(F.lit("body").alias("idx"), F.array(F.concat_ws(" ", "title", "path"), body).alias("texts")),
     )
-    return front.select("archive", "entry_id", F.explode(parts).alias("p")).select("archive", "p.idx", "entry_id", "p.text").filter("text IS NOT NULL")
+    return front.select("archive", "entry_id", F.explode(parts).alias("p")).select("archive", "p.idx", "entry_id", F.array_compact("p.texts").alias("texts"))
 
 
 def postings(texts: DataFrame) -> DataFrame:
-    """archive, idx, gram and entry_id, each once. A text's grams are made distinct in its task, before anything is shuffled."""
+    """archive, idx, gram and entry_id, each once. An entry's grams are made distinct in its task, so nothing is shuffled."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
         for b in batches:
-            g = [T.grams(t) for t in b.text]
+            g = [np.unique(np.concatenate([T.grams(t) for t in own])) if len(own) else np.zeros(0, np.int32) for own in b.texts]
             n = [len(x) for x in g]
-            import numpy as np
-
             yield pd.DataFrame({"archive": np.repeat(b.archive.to_numpy(), n), "idx": np.repeat(b.idx.to_numpy(), n), "gram": np.concatenate(g) if g else [], "entry_id": np.repeat(b.entry_id.to_numpy(), n)})
 
-    # only the body has two texts an entry, so only there can a gram meet itself again
-    return texts.select("archive", "idx", "entry_id", "text").mapInPandas(run, "archive string, idx string, gram int, entry_id long").distinct()
+    return texts.select("archive", "idx", "entry_id", "texts").mapInPandas(run, "archive string, idx string, gram int, entry_id long")
 
 
 def document_frequency(posts: DataFrame) -> DataFrame:
