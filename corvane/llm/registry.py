@@ -7,6 +7,7 @@ from corvane.llm.mixing import SQL as MIXING_SQL
 from corvane.llm.mixing import op7_mixing
 from corvane.llm.passages import op10_passages
 from corvane.llm.quality import op1_quality
+from corvane.llm.rules import SQL as RULES_SQL
 from corvane.llm.rules import op3_quality_rules
 from corvane.llm.simhash import op9_simhash
 from corvane.llm.token_files import op8_token_files
@@ -27,6 +28,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": RULES_SQL,
     "op5_topk": TOPK_SQL,
     "op7_mixing": MIXING_SQL,
 }

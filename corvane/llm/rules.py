@@ -141,4 +141,44 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     voted = cut(votes(statistics(docs)))
     out = judge(voted, fit(voted))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _sql() -> str:
+    """The query in DuckDB's SQL: statistics by rows of words, and the rounds of EM as a recursive query over the vote patterns."""
+    width = range(len(RULES))
+    cast = []
+    for k, (_, ratio, good, bad) in enumerate(RULES):
+        x = "(" + ratio.replace(" / ", "::DOUBLE / ") + ")"
+        cast.append(f"CASE WHEN {bad.replace('x ', x + ' ')} THEN 0 WHEN {good.replace('x ', x + ' ')} THEN 1 END AS v{k}")
+    names = ", ".join(f"v{k}" for k in width)
+    log = "ln(prior / (1 - prior))" + "".join(f" + CASE v{k} WHEN 1 THEN ln(a{k} / b{k}) WHEN 0 THEN CASE WHEN b{k} < 1 THEN ln((1 - a{k}) / (1 - b{k})) ELSE 0 END ELSE 0 END" for k in width)
+    rates = ", ".join(f"((sum(g) FILTER (v{k} = 1)) + {START[1]}) / ((sum(g) FILTER (v{k} IS NOT NULL)) + 1) AS a{k}, ((sum(n - g) FILTER (v{k} = 1)) + {START[2]}) / ((sum(n - g) FILTER (v{k} IS NOT NULL)) + 1) AS b{k}" for k in width)
+    safe = rates.replace("(sum(g) FILTER", "coalesce(sum(g) FILTER").replace("(sum(n - g) FILTER", "coalesce(sum(n - g) FILTER").replace(" = 1)) +", " = 1), 0) +").replace("NOT NULL)) +", "NOT NULL), 0) +")
+    start = ", ".join(f"{START[1]}::DOUBLE AS a{k}, {START[2]}::DOUBLE AS b{k}" for k in width)
+    least = ", ".join(f"a{k}, least(a{k}, b{k}) AS b{k}" for k in width)
+    odds = f"1 / (1 + exp(-greatest(-700, least(700, {log}))))"
+    return rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+p AS (SELECT id, i, struct_pack(a := w[i], b := w[i + 1], c := w[i + 2]) AS k FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+c AS (SELECT id, i, count(*) OVER (PARTITION BY id, k) AS n FROM p),
+r AS (SELECT id, count(DISTINCT i + j) AS n FROM c, (VALUES (0), (1), (2)) o(j) WHERE c.n > 1 GROUP BY id),
+s AS (SELECT d.id, doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines, length(regexp_replace(t, '\P{{L}}+', '', 'g'))::BIGINT AS n_letters,
+  length(regexp_replace(t, '\P{{Lu}}+', '', 'g'))::BIGINT AS n_upper, length(regexp_replace(t, '[^!]+', '', 'g'))::BIGINT AS n_bangs, len(list_distinct(w))::BIGINT AS n_distinct,
+  len(list_filter(w, lambda x: NOT regexp_matches(x, '[\p{{L}}\p{{N}}]')))::BIGINT AS n_bare, length(regexp_replace(t, '[^\p{{L}}\p{{N}}]+', '', 'g'))::BIGINT AS n_alnum
+  FROM d JOIN w USING (id) LEFT JOIN r ON r.id = d.id),
+v AS MATERIALIZED (SELECT *, {', '.join(cast)} FROM s),
+q AS MATERIALIZED (SELECT {names}, count(*) AS n FROM v GROUP BY ALL),
+em AS (
+  SELECT 0 AS k, {START[0]}::DOUBLE AS prior, {start}
+  UNION ALL
+  SELECT k + 1, prior, {least} FROM (
+    SELECT k, least(0.99, greatest(0.01, sum(g) / sum(n))) AS prior, {safe} FROM (SELECT k, {names}, n, n * {odds} AS g FROM em, q WHERE k < {ROUNDS}) GROUP BY k))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {odds} >= {KEEP} AS kept
+FROM v, (SELECT * FROM em ORDER BY k DESC LIMIT 1)"""
+
+
+SQL = _sql()
