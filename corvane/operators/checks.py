@@ -45,3 +45,9 @@ def verify_entries(entries: DataFrame, recorded: DataFrame) -> DataFrame:
 
 def verify_summary(results: DataFrame) -> DataFrame:
     return results.groupBy("tier", "ok").agg(F.count("*").alias("n"))
+
+
+def trusted_signatures(signatures: DataFrame, trusted: list[str]) -> DataFrame:
+    """The first record of each trusted public key (hex) in each archive; unknown keys are left out. signatures: the source's table of that name."""
+    known = signatures.filter(F.lower("public_key").isin([k.lower() for k in trusted]))
+    return known.groupBy("archive", "public_key").agg(F.min_by(F.struct("key_id", "valid"), "nth").alias("s")).select("archive", "public_key", "s.*")

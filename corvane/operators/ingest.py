@@ -93,3 +93,57 @@ def token_table(entries: DataFrame, column: str = "path", least: int = 3, most:
 def shared_prefix(a: Column, b: Column) -> Column:
     """Length of what two strings begin with alike, in characters."""
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(a), F.length(b)))), F.lit(0), lambda n, i: F.when((n == i - 1) & (F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i)), i).otherwise(n))
+
+
+def zstd_level(level: Column) -> Column:
+    """The library's named speed for a numeric level."""
+    return F.when(level <= 1, "fastest").when(level <= 4, "default").when(level <= 8, "better").otherwise("best")
+
+
+def train_dictionaries(entries: DataFrame, most: int = 2000, size: int = 112 << 10, least: int = 10, history: int = 128 << 10) -> DataFrame:
+    """chunk_key and dictionary, one task a key, from its first ``most`` entries; keys with too little to learn from have none. A dictionary is kept only if it saves more on its samples than it takes."""
+
+    def train(rows: pd.DataFrame) -> pd.DataFrame:
+        import zstandard
+
+        texts = [t.encode() for t in rows.sort_values("entry_id").content if t]
+        none = pd.DataFrame({"chunk_key": [], "dictionary": []}, dtype=object)
+        if len(texts) < least or sum(map(len, texts)) < history:
+            return none
+        try:
+            made = zstandard.train_dictionary(size, texts)
+        except zstandard.ZstdError:
+            return none
+        plain, own = zstandard.ZstdCompressor(6), zstandard.ZstdCompressor(6, dict_data=made)
+        saved = sum(len(plain.compress(t)) - len(own.compress(t)) for t in texts)
+        if saved <= len(made.as_bytes()) or zstandard.ZstdDecompressor(dict_data=made).decompress(own.compress(texts[0])) != texts[0]:
+            return none
+        return pd.DataFrame({"chunk_key": [rows.chunk_key.iloc[0]], "dictionary": [made.as_bytes()]})
+
+    rows = samples(entries, most).select("chunk_key", "entry_id", "content")
+    return rows.groupBy("chunk_key").applyInPandas(train, "chunk_key string, dictionary binary")
+
+
+def compress_chunks(packed: DataFrame, entries: DataFrame, level: int = 6) -> DataFrame:
+    """chunk, size, compressed bytes and codec of each packed chunk; images stay raw unless zstd makes them smaller. A chunk holds a few MB, so it fits a task."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        import zstandard
+
+        rows = rows.sort_values("blob_offset", kind="stable")
+        raw = b"".join((t or "").encode() for t in rows.content)
+        image = rows.chunk_key.iloc[0] == "image"
+        small = zstandard.ZstdCompressor(1 if image else level).compress(raw)
+        keep = image and len(small) >= len(raw)
+        return pd.DataFrame({"chunk": [rows.chunk.iloc[0]], "size": [len(raw)], "compression": [0 if keep else 1], "data": [raw if keep else small]})
+
+    joined = packed.select("entry_id", "chunk_key", "chunk", "blob_offset").join(entries.select("entry_id", "content"), "entry_id")
+    return joined.groupBy("chunk").applyInPandas(run, "chunk string, size long, compression int, data binary")
+
+
+def metadata_defaults(found: DataFrame, today: str) -> DataFrame:
+    """archive, key, value with lower-case keys, and the required ones that are missing filled in. found: archive, key, value (string)."""
+    rows = found.select("archive", F.lower("key").alias("key"), "value")
+    defaults = {"title": F.lit("Untitled"), "language": F.lit("eng"), "creator": F.lit("Unknown"), "date": F.lit(today), "source": F.col("archive")}
+    filled = rows.select("archive").distinct().select("archive", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in defaults.items()])).alias("d")).select("archive", "d.*")
+    return rows.unionByName(filled.join(rows, ["archive", "key"], "left_anti"))

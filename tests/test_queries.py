@@ -89,3 +89,39 @@ def test_checks_and_library(spark):
     e = spark.createDataFrame([("a", 1, "p", "T", "text/html", True, "<h2>One</h2><p>x</p><h2>Two</h2><p>y y y</p>", 9)], "archive string, entry_id long, path string, title string, mime_type string, is_front boolean, content string, size long")
     assert library.read_entry(e, "a", 1, section="two").first().text == "# T\n\nTwo y y y"
     assert library.read_entry(e, "a", 1, "markdown", most=8).first().text == "# T\n\n## \n\n[truncated]"
+
+
+def test_reports(spark, sf):
+    import json
+
+    from corvane.operators import reports
+    from corvane.sources.entries import redirects
+
+    e, r = entries(spark, sf), redirects(spark, sf)
+    rows = reports.listing(e, r).collect()
+    assert [x.path for x in rows] == sorted((x.path for x in rows), key=str.encode) and sum(x.kind == "redirect" for x in rows) == r.count()
+    lines = reports.search_lines(e, "that").collect()
+    assert len(lines) == 20 and all(x.tag in ("T", "B", "TB") and len(x.path) <= 40 for x in lines)
+    assert json.loads(reports.info(e, r).first().info)["content_entries"] == e.count()
+    m = lambda v: spark.createDataFrame([("title", v)], "key string, value string")
+    out = reports.comparison(e.filter("archive = 'src0'"), e.filter("archive = 'src1'"), m("x"), m("y")).collect()
+    assert ("metadata", "title", "x", "y") in [tuple(x) for x in out]
+
+
+def test_chunks_and_dictionaries(spark, sf):
+    import zstandard
+
+    e = entries(spark, sf).cache()
+    packed = ingest.pack_chunks(e, 1 << 16).cache()
+    chunks = {r.chunk: zstandard.decompress(bytes(r.data), r["size"]) for r in ingest.compress_chunks(packed, e).collect()}
+    text = {r.entry_id: r.content.encode() for r in e.collect()}
+    assert all(chunks[r.chunk][r.blob_offset : r.blob_offset + r.size] == text[r.entry_id] for r in packed.collect())
+    got = ingest.train_dictionaries(e, 200, 4096).collect()
+    assert all(len(r.dictionary) <= 4096 for r in got)
+    m = spark.createDataFrame([("a", "Title", "t")], "archive string, key string, value string")
+    assert {r.key: r.value for r in ingest.metadata_defaults(m, "2024-01-01").collect()} == {"title": "t", "language": "eng", "creator": "Unknown", "date": "2024-01-01", "source": "a"}
+
+
+def test_trusted_signatures(spark):
+    s = spark.createDataFrame([("a", 0, "AA", 7, True), ("a", 1, "aa", 8, False), ("a", 2, "bb", 9, True)], "archive string, nth int, public_key string, key_id long, valid boolean").selectExpr("archive", "nth", "lower(public_key) AS public_key", "key_id", "valid")
+    assert [tuple(r) for r in checks.trusted_signatures(s, ["aa"]).collect()] == [("a", "aa", 7, True)]
