@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm.batches import bound_batches
 from corvane.llm.pretok import split_bytes
 from corvane.session import table
 
@@ -76,7 +77,7 @@ class Vocabulary:
     def fits(self, a: int, b: int) -> bool:
         known = self._fits.get((a, b))
         if known is None:
-            if len(self._fits) > 400_000:
+            if len(self._fits) > 200_000:
                 self._fits.clear()
             known = self._fits[a, b] = self._compatible(a, b)
         return known
@@ -125,7 +126,7 @@ def load(path: str) -> Vocabulary:
 class PieceCache(dict):
     """Packed ids of pieces already met; emptied when full, so its memory is bounded."""
 
-    def __init__(self, make: Callable[[bytes], bytes], most: int = 400_000):
+    def __init__(self, make: Callable[[bytes], bytes], most: int = 250_000):
         super().__init__()
         self._make, self._most = make, most
 
@@ -208,6 +209,7 @@ class EncodedText:
 def encode(df: DataFrame, text: str = "text", path: str | None = None, ids: str = "ids") -> DataFrame:
     """Adds ids array<int>."""
     path = path or rank_file()
+    bound_batches(df.sparkSession)
     import numpy as np
 
     @F.pandas_udf("array<int>")
@@ -222,6 +224,7 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, ids: str
 def decode(df: DataFrame, ids: str = "ids", path: str | None = None, out: str = "decoded") -> DataFrame:
     """Adds the decoded bytes; null ids: none."""
     path = path or rank_file()
+    bound_batches(df.sparkSession)
 
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -235,6 +238,7 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None, out: str =
 def round_trip(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """Adds n_tokens, ids_sha256 and decoded_sha256: each text encoded, and its ids decoded again, in one pass without a shuffle; ids never leave the task."""
     path = path or rank_file()
+    bound_batches(df.sparkSession)
     import numpy as np
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm.batches import bound_batches
 from corvane.session import cut, table
 
 MIN_PAGES, SHARE = 4, 0.5
@@ -200,6 +201,7 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages:
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """Adds text and n_chars."""
+    bound_batches(pages.sparkSession)
     made = cut(templates(pages, url, html))
     tokens = made.agg(F.sum(F.aggregate("classes", F.lit(0), lambda n, c: n + F.size(c["keys"])))).first()[0] or 0
     rest = [c for c in pages.columns if c not in ("text", "n_chars")]

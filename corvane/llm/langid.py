@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.llm.batches import bound_batches
 from corvane.session import table
 
 #: Length of a language's profile, and of a document's.
@@ -102,6 +103,7 @@ def gram_counts(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
                             total[k] = total.get(k, 0) + c
                 yield pd.DataFrame({"lang": name, "gram": np.fromiter(total.keys(), np.int64, len(total)), "n": np.fromiter(total.values(), np.int64, len(total))})
 
+    bound_batches(df.sparkSession)
     rows = df.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).dropna()
     return rows.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -144,6 +146,8 @@ class Profiles:
 def identify(df: DataFrame, profiles: dict[str, np.ndarray], text: str = "text") -> DataFrame:
     """Adds lang_pred and score, without a shuffle."""
 
+    bound_batches(df.sparkSession)
+
     @F.pandas_udf("lang_pred string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = Profiles(profiles)

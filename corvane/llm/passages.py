@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm.batches import bound_batches
 from corvane.session import table
 
 MIN_WORDS = 8
@@ -36,9 +37,9 @@ _LAST = (1 << 63) - 1
 @cache
 def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each code point: lower case, and whether it is a letter or digit, a capital, white space."""
-    chars = [chr(i) for i in range(0x110000)]
-    lower = np.fromiter((ord(x) if len(x := c.lower()) == 1 else i for i, c in enumerate(chars)), np.uint32, len(chars))
-    return lower, *(np.fromiter(map(f, chars), bool, len(chars)) for f in (str.isalnum, str.isupper, str.isspace))
+    n = 0x110000
+    lower = np.fromiter((ord(x) if len(x := chr(i).lower()) == 1 else i for i in range(n)), np.uint32, n)
+    return lower, *(np.fromiter(map(f, map(chr, range(n))), bool, n) for f in (str.isalnum, str.isupper, str.isspace))
 
 
 def units(texts: list[str], min_words: int = MIN_WORDS) -> Iterator[list[tuple[int, int, int, int]]]:
@@ -161,6 +162,7 @@ def _clean(text: str, spans: list[tuple[int, int]]) -> str:
 
 def remove_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """df with text cleaned, plus removed (array of start, end, first_doc_id) and removed_chars."""
+    bound_batches(df.sparkSession)
     rest = [c for c in df.columns if c not in ("removed", "removed_chars")]
     rows = df.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("__d"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("__t"))
     found = _occurrences(rows, text, min_words)

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm.batches import bound_batches
 from corvane.llm.langid import fold
 from corvane.session import cut, table
 
@@ -76,6 +77,8 @@ def statistics(text: str | None) -> list[float]:
 
 
 def features(df: DataFrame, text: str = "text", out: str = "x") -> DataFrame:
+    bound_batches(df.sparkSession)
+
     @F.pandas_udf("array<double>")
     def run(s: pd.Series) -> pd.Series:
         return pd.Series([np.array(statistics(t)) for t in s], dtype=object)

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm.batches import bound_batches
 from corvane.llm.bpe import PieceCache, encode_packed, pack
 from corvane.session import scratch, table
 
@@ -80,6 +81,7 @@ def write_tokens(df: DataFrame, out: str, doc_id: str = "doc_id", text: str = "t
 
     path = path or tokenizer_file()
     end = end_id.to_bytes(4, "little")
+    bound_batches(df.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
