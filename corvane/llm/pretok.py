@@ -25,7 +25,7 @@ CHUNK = 1 << 20
 
 @cache
 def char_classes() -> np.ndarray:
-    """Class of each code point, by its Unicode category."""
+    """Class of each code point, by its category in Python's Unicode tables; what they don't know is OTHER."""
     first = {"L": LETTER, "N": NUMBER}
     out = np.fromiter((first.get(unicodedata.category(chr(i))[0], OTHER) for i in range(0x110000)), np.uint8, 0x110000)
     out[_SPACES] = SPACE
