@@ -139,7 +139,7 @@ def judge(voted: DataFrame, model: tuple[float, list[tuple[float, float]]], keep
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    voted = cut(votes(statistics(docs)))
+    voted = cut(votes(statistics(docs).drop("text")))
     out = judge(voted, fit(voted))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
