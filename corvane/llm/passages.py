@@ -3,7 +3,9 @@
 A line is cut into sentences. One of MIN_WORDS words or more is a unit, and so are neighbouring shorter ones that
 together have as many. A sentence also ends where text was pasted into text: before a capital after a word without a full stop
 (unless all around are capitals), and after a full stop before a small letter; so the units of a passage are the same wherever it stands.
-Whole lines are units too. A shorter rest between two removed units of a line goes with them.
+What this leaves over (fragments between such ends, short lines) is joined over cuts and line breaks, and cut into units where a
+fragment's hash is the least within MIN_WORDS words on both sides, starts of paragraphs, lines and sentences first: borders that depend on the words near them
+alone. Whole lines and whole stretches of left-over fragments are units too. Where a script has no blanks, two characters count as a word. A shorter rest between two removed units of a line goes with them.
 Units are compared in lower case, letters and digits only, by 128-bit digests grouped over the whole corpus.
 The occurrence in the document with the smallest doc_id, and there the first, is kept; the others are removed.
 Their offsets in the original text (code points) are retained in ``removed``, with the document that keeps the passage
@@ -19,6 +21,7 @@ repeat a doc_id are one document and keep what they share; an empty table gives
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -32,14 +35,21 @@ from corvane.session import table
 
 MIN_WORDS = 8
 _LAST = (1 << 63) - 1
+#: Scripts without blanks between words: Thai and Lao, Burmese, Khmer, kana, Han.
+_DENSE = [(0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x323AF)]
+_DENSE_LETTER = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _DENSE) + "]")
 
 
 @cache
-def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each code point: lower case, and whether it is a letter or digit, a capital, white space."""
+def _letters() -> tuple[np.ndarray, ...]:
+    """For each code point: lower case, and whether it is a letter or digit, a capital, white space, a letter of a script without blanks."""
     n = 0x110000
     lower = np.fromiter((ord(x) if len(x := chr(i).lower()) == 1 else i for i in range(n)), np.uint32, n)
-    return lower, *(np.fromiter(map(f, map(chr, range(n))), bool, n) for f in (str.isalnum, str.isupper, str.isspace))
+    dense = np.zeros(n, bool)
+    for first, last in _DENSE:
+        dense[first : last + 1] = True
+    kinds = [np.fromiter(map(f, map(chr, range(n))), bool, n) for f in (str.isalnum, str.isupper, str.isspace)]
+    return lower, *kinds, dense & kinds[0]
 
 
 def units(texts: list[str], min_words: int = MIN_WORDS) -> Iterator[list[tuple[int, int, int, int]]]:
@@ -58,19 +68,27 @@ def units(texts: list[str], min_words: int = MIN_WORDS) -> Iterator[list[tuple[i
 def _units(texts: list[str], min_words: int) -> Iterator[list[tuple[int, int, int, int]]]:
     import xxhash
 
-    lower, alnum, capital, space = _letters()
+    lower, alnum, capital, space, no_blanks = _letters()
     # texts are joined by two line breaks, so none runs into the next
     whole = "\n\n".join(texts) + "\n\n"
     cp = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
     blank = space[cp]
     edge = np.diff(np.concatenate(([1], blank.view(np.int8), [1])))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    char = no_blanks[cp]
+    if char.any():  # a letter of these scripts is a word of its own, and what follows it up to the next letter or digit goes with it
+        first = char.copy()
+        letters = np.flatnonzero(alnum[cp])
+        first[letters[1:][char[letters[:-1]]]] = True
+        inside = np.setdiff1d(np.flatnonzero(first & ~blank), start)
+        start, end = np.sort(np.append(start, inside)), np.sort(np.append(end, inside))
     real = np.add.reduceat(alnum[cp].astype(np.int32), np.stack((start, end), 1).ravel())[::2] > 0 if len(start) else np.zeros(0, bool)
     start, end = start[real], end[real]
     keep = alnum[cp]
     norm = lower[cp]
     if len(start):
         inner = start[start > 0] - 1
+        inner = inner[blank[inner]]
         keep[inner] = True
         norm = np.where(blank, np.uint32(32), norm)
     at = np.append(0, np.cumsum(keep))
@@ -82,31 +100,68 @@ def _units(texts: list[str], min_words: int) -> Iterator[list[tuple[int, int, in
     line = np.ones(len(start), bool)
     line[1:] = breaks[start[1:]] != breaks[end[:-1]]
     natural, forced = np.zeros(len(start), bool), line.copy()
-    natural[1:] = stop[:-1] & upper[1:]
+    char = char[start] if len(start) else np.zeros(0, bool)
+    natural[1:] = stop[:-1] & (upper[1:] | char[1:])
     small = np.append(~upper[1:], True)  # the next word
-    forced[1:] |= (stop[:-1] & ~upper[1:]) | (upper[1:] & ~stop[:-1] & (~upper[:-1] | small[1:]))
+    forced[1:] |= (stop[:-1] & ~upper[1:] & ~char[1:]) | (upper[1:] & ~stop[:-1] & ~char[:-1] & (~upper[:-1] | small[1:]))
     cuts = np.flatnonzero(natural | forced)
     spans, lines = [], []  # first and last word
     n = len(start)
     rows = [*zip(cuts.tolist(), forced[cuts].tolist(), line[cuts].tolist()), (n, True, True)]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 2
+    begin = np.cumsum(sizes) - sizes
+    of_word = np.searchsorted(begin, start, "right") - 1
+    size = np.append(0, np.cumsum(2 - char)).tolist()  # of the words before, in half words
+    least = 2 * min_words
+    loose: list[int] = []  # first words of the fragments that no sentence unit holds
+    after: list[int] = []  # and of what follows each
+    held: list[tuple[int, int]] = []  # the short sentences at hand
     run = line_from = 0  # first word of the short sentences at hand, and of the line
     for (k, hard, _), (following, ends, line_ends) in zip(rows, rows[1:]):
         if hard:
             run = k
-        if following - k >= min_words:
+        long_ = size[following] - size[k] >= least
+        if held and (hard or long_):
+            for x, y in held:
+                loose.append(x)
+                after.append(y)
+            held = []
+        if long_:
             spans.append((k, following - 1))
             run = following
-        elif following - run >= min_words:
+        elif size[following] - size[run] >= least:
             spans.append((run, following - 1))
             run = following
+            held = []
+        else:
+            held.append((k, following))
         if line_ends:
-            if following - line_from >= min_words:
+            if size[following] - size[line_from] >= least:
                 lines.append((line_from, following - 1))
             line_from = following
+    for x, y in held:
+        loose.append(x)
+        after.append(y)
+    if loose:
+        tier = np.full(n, 3)
+        tier[natural] = 2
+        tier[line] = 1
+        tier[0] = 0
+        tier[1:][breaks[start[1:]] > breaks[end[:-1]] + 1] = 0
+        words, texts_of = np.array(loose), of_word[loose]
+        apart = np.flatnonzero((words[1:] != np.array(after[:-1])) | (texts_of[1:] != texts_of[:-1])) + 1
+        for x, y in zip([0, *apart.tolist()], [*apart.tolist(), len(loose)]):
+            if size[after[y - 1]] - size[loose[x]] < least:
+                continue
+            spans.append((loose[x], after[y - 1] - 1))
+            keys = [(int(tier[a]), xxhash.xxh3_64_intdigest(packed[4 * int(at[start[a]]) : 4 * int(at[end[b - 1]])])) for a, b in zip(loose[x:y], after[x:y])]
+            past = after[y - 1]
+            keys.append((int(tier[past]) if past < n else 0, 0))  # what follows is a border of its kind
+            inner = [k for k in _borders(keys, [size[a] for a in (*loose[x:y], past)], least) if 0 < k < y - x]
+            firsts = [loose[x], *[loose[x + k] for k in inner], past]
+            spans += [(a, b - 1) for a, b in zip(firsts, firsts[1:]) if size[b] - size[a] >= least]
     found = sorted({*spans, *lines})
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 2
-    begin = np.cumsum(sizes) - sizes
-    of = np.searchsorted(begin, start[[a for a, _ in found]], "right") - 1 if found else []
+    of = of_word[[a for a, _ in found]] if found else []
     out: list[list] = [[] for _ in texts]
     s, e, c = start.tolist(), end.tolist(), at
     for (a, b), k in zip(found, of):
@@ -116,6 +171,21 @@ def _units(texts: list[str], min_words: int) -> Iterator[list[tuple[int, int, in
     yield from out
 
 
+def _borders(keys: list[tuple[int, int]], places: list[int], least: int) -> list[int]:
+    """Fragments that begin a unit: those whose key is the least of all fragments nearer than ``least``; of equal ones as many as are that far apart."""
+    out: list[int] = []
+    from_ = to = 0
+    n = len(keys)
+    for i in range(n):
+        while places[from_] <= places[i] - least:
+            from_ += 1
+        while to < n and places[to] < places[i] + least:
+            to += 1
+        if (not out or places[i] - places[out[-1]] >= least) and keys[i] <= min(keys[from_:to]):
+            out.append(i)
+    return out
+
+
 def _occurrences(df: DataFrame, text: str, min_words: int) -> DataFrame:
     """__d, __t, a unit's span and digest, and whether it is the digest's first in its text."""
 
@@ -134,11 +204,18 @@ def _occurrences(df: DataFrame, text: str, min_words: int) -> DataFrame:
     return rows.mapInPandas(run, "__d long, __t long, start int, end int, h1 long, h2 long, first boolean")
 
 
+def _words(text: str) -> float:
+    """Words of text; where there are no blanks, two characters count as one."""
+    if text.isascii() or not (dense := len(_DENSE_LETTER.findall(text))):
+        return len(text.split())
+    return dense / 2 + sum(any(map(str.isalnum, w)) for w in _DENSE_LETTER.sub(" ", text).split())
+
+
 def _closed(text: str, spans: list[tuple[int, int]], min_words: int) -> list[tuple[int, int]]:
     """spans, merged where they meet or where only a few words of one line lie between."""
     out: list[tuple[int, int]] = []
     for s, e in spans:
-        if out and (s <= out[-1][1] or ("\n" not in (gap := text[out[-1][1] : s]) and len(gap.split()) < min_words)):
+        if out and (s <= out[-1][1] or ("\n" not in (gap := text[out[-1][1] : s]) and _words(gap) < min_words)):
             out[-1] = (out[-1][0], max(e, out[-1][1]))
         else:
             out.append((s, e))

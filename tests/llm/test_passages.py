@@ -90,3 +90,40 @@ def test_defined_results(spark):
     assert by[5].text == "rest\n" and by[5].removed_chars == 2 * len(line) and by[6].text == by[7].text == "tiny" and by[8].text == "w " * 50_000
     assert p.remove_passages(df.limit(0)).count() == 0
     assert p.without_passages(df).columns == df.columns
+
+
+GERMAN = "Der Hund des Bauern lief am Morgen durch das Tor zur Straße. Die Frau im Garten sah den Nachbarn mit dem Wagen und rief ihm einen Gruß zu. Am Abend kam der Sohn aus der Stadt mit einem Korb voller Äpfel und setzte sich an den Tisch. Das Fenster zum Hof stand offen und der Wind trug den Geruch von Heu ins Zimmer."
+NAMES = "On Monday Anna Jones met Peter in Berlin and went to Paris with Maria. The letter from London reached Tom in March when Susan and Robert sat with Clara near Vienna. In April Henry told Lucy that Oscar of Denmark had left Rome for Madrid and that Emma from Oslo was with George in Lisbon."
+LINES = "\n".join(["the river runs below the hill", "a light goes out at night", "no bird is heard till dawn", "the wind has lost its way", "my boat lies on the sand", "her name is in the stone", "we count the days of rain", "old songs come back in spring", "and nobody asks them to stay"])
+CHINESE = "昨天下午我们一起去了城外的河边散步。天气很好。孩子们在草地上放风筝。老人坐在树下喝茶聊天，说起了许多从前的故事。后来下起了小雨。大家都跑到桥下躲雨。等到傍晚雨停的时候天边出现了一道彩虹。"
+
+
+def test_other_kinds_of_text_get_units_and_are_removed(spark):
+    rng = random.Random(8)
+    for passage in (GERMAN, NAMES, LINES, CHINESE):
+        held = {i for s, e, *_ in next(p.units([passage])) if (s, e) != (0, len(passage)) for i in range(s, e)}
+        assert len(held) > 0.5 * len(passage)  # not by the passage as a whole alone
+        docs = [(d, "\n\n".join([paragraph(rng, 5), passage, paragraph(rng, 5)])) for d in range(3)]
+        got = {r.doc_id: r for r in p.remove_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert got[0].text == docs[0][1]
+        for d in (1, 2):
+            assert got[d].removed_chars > 0.9 * len(passage) and len(got[d].text) >= len(docs[d][1]) - len(passage) - 4
+
+
+def test_borders_depend_on_what_is_near():
+    rng = random.Random(3)
+    lines = ["\n".join(" ".join(rng.choices(["lake", "tree", "stone", "path", "cloud", "bird", "snow"], k=5)) for _ in range(n)) for n in (40, 11, 14)]
+    inner = lambda t: {u[2:] for u in next(p.units([t])) if u[1] - u[0] < len(t)}
+    own = inner(lines[0])
+    assert len(own) >= 8
+    assert len(own & inner(f"{lines[1]}\n{lines[0]}\n{lines[2]}")) >= len(own) - 3
+    repeated = next(p.units(["\n".join(["buy one get one free now"] * 30)]))
+    assert len({u[2:] for u in repeated}) <= 3 and len(repeated) > 10
+
+
+def test_gaps_without_blanks_are_counted_by_characters():
+    gap = "后来下起了小雨大家都跑到桥下躲雨等到傍晚"
+    text = f"{'甲' * 20}{gap}{'乙' * 20}"
+    spans = [(0, 20), (20 + len(gap), len(text))]
+    assert p._closed(text, spans, 8) == spans
+    assert p._closed(text, [(0, 20), (30, len(text))], 8) == [(0, len(text))]
