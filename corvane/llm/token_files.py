@@ -13,6 +13,10 @@ a document's place in the whole sequence of tokens.
 Executors may be lost at any time: a task writes under a name of its own and renames when complete; its
 contents depend on its input alone, so an attempt that runs again replaces like by like.
 
+Added tokens of the tokenizer's file are found in the texts first, as the library does, and what lies between is encoded piece by
+piece. The query takes special ones (<|endoftext|>) for tokens too, the library's default; ``write_tokens`` does so with ``special``
+and otherwise encodes them as ordinary text, the library's ``encode_special_tokens``.
+
 Nulls and empty texts have just the end id; repeated rows are written each; rows without doc_id come first;
 an empty table gives no files; further columns aren't written.
 """
@@ -20,6 +24,7 @@ an empty table gives no files; further columns aren't written.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -66,6 +71,29 @@ def library_cache(path: str) -> PieceCache:
     return PieceCache(lambda piece: pack(t.id for t in model.tokenize(piece.decode("latin-1").translate(letters))))
 
 
+@cache
+def added_tokens(path: str, special: bool) -> tuple[re.Pattern, dict[str, bytes]] | None:
+    """A pattern of the file's added tokens, the longest first, and their packed ids; special ones only if asked for."""
+    with open(path, encoding="utf-8") as f:
+        tokens = [t for t in json.load(f).get("added_tokens") or [] if t["content"] and (special or not t["special"])]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+        raise ValueError("only added tokens that don't depend on the text around them")
+    ids = {t["content"]: pack([t["id"]]) for t in tokens}
+    return (re.compile(f"({'|'.join(map(re.escape, sorted(ids, key=len, reverse=True)))})"), ids) if ids else None
+
+
+def encode_whole(texts: list[str], known: PieceCache, added: tuple[re.Pattern, dict[str, bytes]] | None) -> Iterator[bytes]:
+    """Packed ids of each text, cut at the added tokens."""
+    if added is None:
+        yield from encode_packed(texts, known)
+        return
+    pattern, ids = added
+    parts = [pattern.split(t) for t in texts]  # text, token, text, ...
+    plain = encode_packed([x for p in parts for x in p[::2]], known)
+    for p in parts:
+        yield b"".join([next(plain), *(x for token in p[1::2] for x in (ids[token], next(plain)))])
+
+
 def _filesystem(path: str):
     from pyarrow import fs
 
@@ -75,7 +103,7 @@ def _filesystem(path: str):
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("part_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.field("element", pa.int32())))])
 
 
-def write_tokens(df: DataFrame, out: str, doc_id: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = END_ID, group_tokens: int = GROUP_TOKENS, page_bytes: int = PAGE_BYTES) -> list[dict]:
+def write_tokens(df: DataFrame, out: str, doc_id: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = END_ID, group_tokens: int = GROUP_TOKENS, page_bytes: int = PAGE_BYTES, special: bool = False) -> list[dict]:
     """Writes the files and returns the manifest, a row for each file. Only doc_id and text are shuffled, once, to put documents in order."""
     import numpy as np
 
@@ -87,7 +115,7 @@ def write_tokens(df: DataFrame, out: str, doc_id: str = "doc_id", text: str = "t
         import pyarrow.parquet as pq
         from pyspark import TaskContext
 
-        task, known = TaskContext.get(), library_cache(path)
+        task, known, added = TaskContext.get(), library_cache(path), added_tokens(path, special)
         fs, root = _filesystem(out)
         part, total, docs, writer = task.partitionId(), 0, 0, None
         name, own = f"{root}/part-{part:06d}.parquet", f"{root}/.part-{part:06d}-{task.taskAttemptId()}"
@@ -110,7 +138,7 @@ def write_tokens(df: DataFrame, out: str, doc_id: str = "doc_id", text: str = "t
 
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-            for key, packed in zip(batch.column(0).to_pylist(), encode_packed(texts, known)):
+            for key, packed in zip(batch.column(0).to_pylist(), encode_whole(texts, known, added)):
                 n = len(packed) // 4 + 1
                 if rows and held + n > group_tokens:
                     flush()
@@ -185,5 +213,5 @@ def digests(spark: SparkSession, out: str) -> DataFrame:
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark, "tokens")
-    write_tokens(table(spark, sf_dir, "documents"), out)
+    write_tokens(table(spark, sf_dir, "documents"), out, special=True)
     return digests(spark, out)

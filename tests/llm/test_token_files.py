@@ -53,3 +53,35 @@ def test_empty_table(spark):
     out = scratch(spark, "t")
     assert tf.write_tokens(spark.createDataFrame([], "doc_id long, text string"), out) == []
     assert tf.digests(spark, out).count() == 0 and tf.read_tokens(spark, out).count() == 0
+
+
+def test_added_tokens_as_the_library_finds_them(spark, tmp_path):
+    plain = Tokenizer.from_file(tf.tokenizer_file())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>  x", "it's <|endoftext|>'s  \n<|endoftext|>\n\n", "<|endoftext |> <|endoftext|", "none", "", None, "é<|endoftext|>日本 " * 500]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in tf.op8_token_files(spark, str(tmp_path)).collect())
+    assert got == expect(rows, plain)
+    assert plain.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
+def test_longest_added_token_and_those_that_need_their_surroundings(tmp_path):
+    import json
+
+    with open(tf.tokenizer_file(), encoding="utf-8") as f:
+        spec = json.load(f)
+    one = spec["added_tokens"][0]
+    spec["added_tokens"] += [one | {"id": 50257, "content": "<|endoftext|>!", "special": False}, one | {"id": 50258, "content": "<|end"}]
+    path = tmp_path / "more.json"
+    path.write_text(json.dumps(spec))
+    library = Tokenizer.from_file(str(path))
+    texts = ["a<|endoftext|>! b", "<|end <|endoftext|>?", "<|endoftext|>!!"]
+    for special in (True, False):
+        library.encode_special_tokens = not special
+        got = [np.frombuffer(b, "<u4").tolist() for b in tf.encode_whole(texts, tf.library_cache(str(path)), tf.added_tokens(str(path), special))]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    spec["added_tokens"][1]["lstrip"] = True
+    strip = tmp_path / "strip.json"
+    strip.write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        tf.added_tokens(str(strip), True)
