@@ -7,7 +7,8 @@ aren't gathered anywhere: a token's vector is represented by a sum of hashes of
 aggregations that combine on the map side, however many pages a host has. In a page, a class is valid if its tokens
 come in the template's order and lie in one slot of every larger class (they nest). What is not template
 is slots; their text is the page's data. Main text is the data of the slots inside the article or main element (the body, if
-there is none) that no menu, header, footer, sidebar, notice, advert, form, script, style or comment section encloses.
+there is none), without template text there, that no menu, header, footer, sidebar, notice, advert, form, script, style or comment section encloses.
+Text inside the main element is template only if at least MIN_PAGES pages have it too, and a main element that holds nothing else keeps it.
 
 Defined results: null html is an empty page; pages without url form a host of their own; repeated rows are extracted
 each; a host with fewer than MIN_PAGES pages has no template, and then the tags alone decide; an empty table gives an empty
@@ -127,12 +128,14 @@ def _key(kind: str, text: str) -> int:
 
 
 def template_tokens(tokens: list) -> list[tuple[int, int]]:
-    """(key, place) of the tokens that can belong to a template: tags outside the main element and those that open or close it, and text outside it."""
+    """(key, place) of the tokens that can belong to a template: tags outside the main element and those that open or close it, and all text but what is out of the main text inside it."""
     has_main = any(main and not out for *_, out, main in tokens)
     keys, inside = [], False
     for place, (kind, text, out, main) in enumerate(tokens):
         if has_main and main and inside:
             inside = main
+            if kind[0] == "#" and not out and not text.isspace():
+                keys.append((_key(kind, text), place))
             continue
         inside = main
         if kind[0] == "#":
@@ -162,7 +165,9 @@ def valid_template(keys: list[tuple[int, int]], classes: list[tuple[int, list[in
 def main_text(source: str | None, classes: list | None = None) -> str:
     tokens = parse(source)
     has_main = any(main and not out and kind[0] == "#" and not text.isspace() for kind, text, out, main in tokens)
-    fixed = valid_template(template_tokens(tokens), classes) if classes and not has_main else ()
+    fixed = valid_template(template_tokens(tokens), classes) if classes else ()
+    if fixed and has_main and not any(main and not out and kind[0] == "#" and not text.isspace() and place not in fixed for place, (kind, text, out, main) in enumerate(tokens)):
+        fixed = ()
     parts = []
     for place, (kind, text, out, main) in enumerate(tokens):
         if kind[0] != "#":
@@ -183,17 +188,19 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages:
         for b in batches:
             rows: list[tuple] = []
             for host, page, source in zip(b["host"], b["page"], b[html]):
-                keys = template_tokens(parse(source))
+                tokens = parse(source)
+                keys = template_tokens(tokens)
+                within = {k for k, p in keys if tokens[p][0][0] == "#" and tokens[p][3]}
                 n = Counter(k for k, _ in keys)
                 first = {k: p for p, (k, _) in reversed(list(enumerate(keys)))}
-                rows += [(host, k, _key(str(page), str(c)), c, first[k]) for k, c in n.items()]
-            yield pd.DataFrame(rows, columns=["host", "key", "vector", "n", "place"])
+                rows += [(host, k, _key(str(page), str(c)), c, first[k], k in within) for k, c in n.items()]
+            yield pd.DataFrame(rows, columns=["host", "key", "vector", "n", "place", "within"])
 
-    rows = pages.select(host_of(url).alias("host"), F.monotonically_increasing_id().alias("page"), F.col(html)).mapInPandas(count, "host string, key long, vector long, n int, place int")
+    rows = pages.select(host_of(url).alias("host"), F.monotonically_increasing_id().alias("page"), F.col(html)).mapInPandas(count, "host string, key long, vector long, n int, place int, within boolean")
     # the wide sums can't overflow and don't depend on the order
-    by = rows.groupBy("host", "key").agg(F.count("*").alias("pages"), F.max("n").alias("most"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.avg("place").alias("place"))
+    by = rows.groupBy("host", "key").agg(F.count("*").alias("pages"), F.max("n").alias("most"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.avg("place").alias("place"), F.max("within").alias("within"))
     hosts = pages.select(host_of(url).alias("host")).groupBy("host").agg(F.count("*").alias("of")).filter(F.col("of") >= min_pages)
-    part = by.filter("most = 1").join(hosts, "host").filter(F.col("pages") >= share * F.col("of"))
+    part = by.filter("most = 1").join(hosts, "host").filter((F.col("pages") >= share * F.col("of")) & (~F.col("within") | (F.col("pages") >= min_pages)))
     classes = part.groupBy("host", "vector", "pages").agg(F.array_sort(F.collect_list(F.struct("place", "key")))["key"].alias("keys"))
     order = F.array_sort(F.collect_list(F.struct((-F.col("pages")).alias("less"), (-F.size("keys")).alias("fewer"), "pages", "keys")))
     return classes.groupBy("host").agg(order.alias("c")).select("host", F.transform("c", lambda c: F.struct(c["pages"].alias("pages"), c["keys"].alias("keys"))).alias("classes"))

@@ -55,3 +55,16 @@ def test_classes_must_be_in_order_and_nest():
     assert h.valid_template(keys, [(9, [1, 2, 3]), (5, [5, 6])]) == {0, 1, 2, 3, 5}
     assert h.valid_template(keys, [(9, [1, 2, 3]), (5, [6, 7])]) == {0, 3, 5}
     assert h.valid_template(keys, [(9, [1, 8])]) == set()
+
+
+def test_template_text_inside_the_main_element_goes(spark):
+    page = "<html><body><nav>menu</nav><article><h1>Story {0}</h1><div class='x1'>Read our other stories</div><p>It begins {0}.</p>{1}<div>We like letters</div></article></body></html>"
+    rows = [(i, f"http://h.example/{i}", page.format(i, "<p>Sometimes more.</p>" * (i % 3 == 0))) for i in range(30)]
+    # a host of four with two copies keeps them, and so do pages that are nothing but the text of most others
+    rows += [(100 + i, f"http://two.example/{i}", f"<article><p>Copy {max(i, 1)}</p></article>") for i in range(4)]
+    rows += [(200 + i, f"http://same.example/{i}", "<article><p>All the same</p></article>") for i in range(6)]
+    got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(30):
+        assert got[i] == f"Story {i} It begins {i}." + " Sometimes more." * (i % 3 == 0)
+    assert [got[100 + i] for i in range(4)] == ["Copy 1", "Copy 1", "Copy 2", "Copy 3"]
+    assert {got[200 + i] for i in range(6)} == {"All the same"}
