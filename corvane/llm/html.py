@@ -2,10 +2,11 @@
 
 Pages of one host share a template. A page is a sequence of tokens: tags with the path they stand in, and text nodes
 with theirs. Tokens with the same occurrence vector over a host's pages (so often in this page, so often in that)
-form an equivalence class; a class met once a page, in at least half of the host's pages, is a part of the template. Vectors
+form an equivalence class; a class in at least half of the host's pages is a part of the template. Tags must be met once a page
+(a tag that data repeats would break the order), text may be met any number of times. Vectors
 aren't gathered anywhere: a token's vector is represented by a sum of hashes of (page, count), so classes come from two
 aggregations that combine on the map side, however many pages a host has. In a page, a class is valid if its tokens
-come in the template's order and lie in one slot of every larger class (they nest). What is not template
+(the first occurrence of each, the second of each and so on) come in the template's order and lie in one slot of every larger class (they nest). What is not template
 is slots; their text is the page's data. Main text is the data of the slots inside the article or main element (the body, if
 there is none), without template text there, that no menu, header, footer, sidebar, notice, advert, form, script, style or comment section encloses.
 Text inside the main element is template only if at least MIN_PAGES pages have it too, and a main element that holds nothing else keeps it.
@@ -153,12 +154,15 @@ def valid_template(keys: list[tuple[int, int]], classes: list[tuple[int, list[in
         places.setdefault(k, []).append(place)
     frame: list[int] = []
     for _, own in classes:
-        at = [places[k][0] for k in own if len(places.get(k, ())) == 1]
-        if len(at) < len(own) or any(a >= b for a, b in zip(at, at[1:])):
-            continue  # not in this page, or not in order
-        if frame and len({sum(f < a for f in frame) for a in at}) > 1:
+        times = {len(places.get(k, ())) for k in own}
+        if len(times) > 1 or 0 in times:
+            continue  # not in this page
+        rounds = list(zip(*(places[k] for k in own)))
+        if any(a >= b for at in rounds for a, b in zip(at, at[1:])):
+            continue  # not in order
+        if frame and any(len({sum(f < a for f in frame) for a in at}) > 1 for at in rounds):
             continue  # spread over several slots
-        frame = sorted(frame + at)
+        frame = sorted([*frame, *(a for at in rounds for a in at)])
     return set(frame)
 
 
@@ -190,17 +194,18 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages:
             for host, page, source in zip(b["host"], b["page"], b[html]):
                 tokens = parse(source)
                 keys = template_tokens(tokens)
+                texts = {k for k, p in keys if tokens[p][0][0] == "#"}
                 within = {k for k, p in keys if tokens[p][0][0] == "#" and tokens[p][3]}
                 n = Counter(k for k, _ in keys)
                 first = {k: p for p, (k, _) in reversed(list(enumerate(keys)))}
-                rows += [(host, k, _key(str(page), str(c)), c, first[k], k in within) for k, c in n.items()]
-            yield pd.DataFrame(rows, columns=["host", "key", "vector", "n", "place", "within"])
+                rows += [(host, k, _key(str(page), str(c)), c, first[k], k in within, k in texts) for k, c in n.items()]
+            yield pd.DataFrame(rows, columns=["host", "key", "vector", "n", "place", "within", "text"])
 
-    rows = pages.select(host_of(url).alias("host"), F.monotonically_increasing_id().alias("page"), F.col(html)).mapInPandas(count, "host string, key long, vector long, n int, place int, within boolean")
+    rows = pages.select(host_of(url).alias("host"), F.monotonically_increasing_id().alias("page"), F.col(html)).mapInPandas(count, "host string, key long, vector long, n int, place int, within boolean, text boolean")
     # the wide sums can't overflow and don't depend on the order
-    by = rows.groupBy("host", "key").agg(F.count("*").alias("pages"), F.max("n").alias("most"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.avg("place").alias("place"), F.max("within").alias("within"))
+    by = rows.groupBy("host", "key").agg(F.count("*").alias("pages"), F.max("n").alias("most"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.avg("place").alias("place"), F.max("within").alias("within"), F.max("text").alias("text"))
     hosts = pages.select(host_of(url).alias("host")).groupBy("host").agg(F.count("*").alias("of")).filter(F.col("of") >= min_pages)
-    part = by.filter("most = 1").join(hosts, "host").filter((F.col("pages") >= share * F.col("of")) & (~F.col("within") | (F.col("pages") >= min_pages)))
+    part = by.filter("most = 1 OR text").join(hosts, "host").filter((F.col("pages") >= share * F.col("of")) & (~F.col("within") | (F.col("pages") >= min_pages)))
     classes = part.groupBy("host", "vector", "pages").agg(F.array_sort(F.collect_list(F.struct("place", "key")))["key"].alias("keys"))
     order = F.array_sort(F.collect_list(F.struct((-F.col("pages")).alias("less"), (-F.size("keys")).alias("fewer"), "pages", "keys")))
     return classes.groupBy("host").agg(order.alias("c")).select("host", F.transform("c", lambda c: F.struct(c["pages"].alias("pages"), c["keys"].alias("keys"))).alias("classes"))

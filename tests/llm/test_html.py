@@ -68,3 +68,13 @@ def test_template_text_inside_the_main_element_goes(spark):
         assert got[i] == f"Story {i} It begins {i}." + " Sometimes more." * (i % 3 == 0)
     assert [got[100 + i] for i in range(4)] == ["Copy 1", "Copy 1", "Copy 2", "Copy 3"]
     assert {got[200 + i] for i in range(6)} == {"All the same"}
+
+
+def test_text_that_pages_repeat_is_template(spark):
+    page = "<html><body><div>Subscribe now</div>{2}<p>Story {0}</p><p>ends {1}</p><div>Share it</div><div>Share it</div><div>Rights</div></body></html>"
+    rows = [(i, f"http://h.example/{i}", page.format(i, 7 * i, "<div>Subscribe now</div>" * (i == 3))) for i in range(30)]
+    got = h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Story {i} ends {7 * i}" for i in range(30)}
+    keys = [(k, place) for place, k in enumerate([1, 2, 9, 1, 2, 3, 3])]
+    assert h.valid_template(keys, [(9, [1, 2]), (9, [3])]) == {0, 1, 3, 4, 5, 6}
+    assert h.valid_template(keys, [(9, [2, 1])]) == set() and h.valid_template(keys, [(9, [2, 3])]) == {1, 4, 5, 6}
