@@ -5,23 +5,26 @@ together have as many. A sentence also ends where text was pasted into text: bef
 (unless all around are capitals), and after a full stop before a small letter; so the units of a passage are the same wherever it stands.
 What this leaves over (fragments between such ends, short lines) is joined over cuts and line breaks, and cut into units where a
 fragment's hash is the least within MIN_WORDS words on both sides, starts of paragraphs, lines and sentences first: borders that depend on the words near them
-alone. Whole lines and whole stretches of left-over fragments are units too. Where a script has no blanks, two characters count as a word. A shorter rest between two removed units of a line goes with them.
+alone. Whole lines and whole stretches of left-over fragments are units too. What is still too short for a unit makes one with the unit
+before it (at the beginning of a text, after it), so it goes where it repeats together with that, and only there. Where a script has no blanks, two characters count as a word.
 Units are compared in lower case, letters and digits only, by 128-bit digests grouped over the whole corpus.
-The occurrence in the document with the smallest doc_id, and there the first, is kept; the others are removed.
-Their offsets in the original text (code points) are retained in ``removed``, with the document that keeps the passage
-(for a repeat within one text, that document itself).
+The occurrence in the document with the smallest doc_id, and there the first, is kept; the others are removed. Nothing else is, but the white space after them.
+``removed`` retains what goes, as spans in order that don't overlap: offsets in the original text (code points, end excluded, white space included) and the
+document that keeps the passage (the smallest one where several units make a span; for a repeat within one text, that document
+itself). The original is the cleaned text with these spans put back.
 
-Only digests and offsets are shuffled to find repeats: once combined to one row a digest, once to meet the digests
+Units are computed once and written to the shared folder. Only digests and offsets are shuffled to find repeats: once combined to one row a digest, once to meet the digests
 that repeat, which are unique on their side, so a digest that a third of all rows hold is streamed, and its partition split by AQE.
 
-Defined results: null text stays null and an empty one empty, with nothing removed; rows without doc_id rank last; rows that
+Defined results: null text stays null and an empty one empty, with nothing removed; texts of any length are cut whole, a task holds one Arrow batch of them; of equal
+units in one document the first is kept; rows without doc_id rank last; rows that
 repeat a doc_id are one document and keep what they share; an empty table gives an empty result; ``removed`` and
 ``removed_chars`` replace columns of these names.
 """
 
 from __future__ import annotations
 
-import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -30,14 +33,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.batches import bound_batches
-from corvane.session import table
+from corvane.llm.batches import beside, bound_batches
+from corvane.session import scratch, table
 
 MIN_WORDS = 8
+REMOVED = "array<struct<start: int, end: int, first_doc_id: bigint>>"
 _LAST = (1 << 63) - 1
 #: Scripts without blanks between words: Thai and Lao, Burmese, Khmer, kana, Han.
 _DENSE = [(0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x323AF)]
-_DENSE_LETTER = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _DENSE) + "]")
 
 
 @cache
@@ -105,7 +108,7 @@ def _units(texts: list[str], min_words: int) -> Iterator[list[tuple[int, int, in
     small = np.append(~upper[1:], True)  # the next word
     forced[1:] |= (stop[:-1] & ~upper[1:] & ~char[1:]) | (upper[1:] & ~stop[:-1] & ~char[:-1] & (~upper[:-1] | small[1:]))
     cuts = np.flatnonzero(natural | forced)
-    spans, lines = [], []  # first and last word
+    spans, lines, whole_runs = [], [], []  # first and last word
     n = len(start)
     rows = [*zip(cuts.tolist(), forced[cuts].tolist(), line[cuts].tolist()), (n, True, True)]
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 2
@@ -153,14 +156,14 @@ def _units(texts: list[str], min_words: int) -> Iterator[list[tuple[int, int, in
         for x, y in zip([0, *apart.tolist()], [*apart.tolist(), len(loose)]):
             if size[after[y - 1]] - size[loose[x]] < least:
                 continue
-            spans.append((loose[x], after[y - 1] - 1))
+            whole_runs.append((loose[x], after[y - 1] - 1))
             keys = [(int(tier[a]), xxhash.xxh3_64_intdigest(packed[4 * int(at[start[a]]) : 4 * int(at[end[b - 1]])])) for a, b in zip(loose[x:y], after[x:y])]
             past = after[y - 1]
             keys.append((int(tier[past]) if past < n else 0, 0))  # what follows is a border of its kind
             inner = [k for k in _borders(keys, [size[a] for a in (*loose[x:y], past)], least) if 0 < k < y - x]
             firsts = [loose[x], *[loose[x + k] for k in inner], past]
             spans += [(a, b - 1) for a, b in zip(firsts, firsts[1:]) if size[b] - size[a] >= least]
-    found = sorted({*spans, *lines})
+    found = sorted({*spans, *lines, *whole_runs, *_joined(sorted(spans), size, of_word.tolist(), least)})
     of = of_word[[a for a, _ in found]] if found else []
     out: list[list] = [[] for _ in texts]
     s, e, c = start.tolist(), end.tolist(), at
@@ -204,35 +207,53 @@ def _occurrences(df: DataFrame, text: str, min_words: int) -> DataFrame:
     return rows.mapInPandas(run, "__d long, __t long, start int, end int, h1 long, h2 long, first boolean")
 
 
-def _words(text: str) -> float:
-    """Words of text; where there are no blanks, two characters count as one."""
-    if text.isascii() or not (dense := len(_DENSE_LETTER.findall(text))):
-        return len(text.split())
-    return dense / 2 + sum(any(map(str.isalnum, w)) for w in _DENSE_LETTER.sub(" ", text).split())
-
-
-def _closed(text: str, spans: list[tuple[int, int]], min_words: int) -> list[tuple[int, int]]:
-    """spans, merged where they meet or where only a few words of one line lie between."""
-    out: list[tuple[int, int]] = []
-    for s, e in spans:
-        if out and (s <= out[-1][1] or ("\n" not in (gap := text[out[-1][1] : s]) and _words(gap) < min_words)):
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
+def _joined(spans: list[tuple[int, int]], size: list[int], of: list[int], least: int) -> Iterator[tuple[int, int]]:
+    """Units of the words between two units, too few for one of their own, with the unit before; at the beginning of a text with the one after."""
+    last = len(of) - 1
+    for (a, b), (c, d) in zip([(-1, -1), *spans], [*spans, (last + 1, last + 1)]):
+        first, past = b + 1, c  # the words between
+        if first >= past:
+            continue
+        stop = first
+        if a >= 0 and of[first] == of[b]:
+            stop = past if of[past - 1] == of[b] else bisect_right(of, of[b], first, past)
+            if size[stop] - size[first] < least:
+                yield a, stop - 1
+        if c <= last and stop < past and of[past - 1] == of[c]:
+            begin = bisect_left(of, of[c], stop, past)
+            if size[past] - size[begin] < least:
+                yield begin, d
+
+
+def cuts(text: str, spans: list[tuple[int, int, int | None]]) -> list[tuple[int, int, int | None]]:
+    """What goes of text: the spans (start, end, keeping document), merged where they overlap, each with the white space after it; a line that loses all its words goes whole."""
+    merged: list[list] = []
+    for s, e, d in sorted(spans, key=lambda x: x[:2]):
+        if merged and s < merged[-1][1]:
+            top = merged[-1]
+            top[1] = max(top[1], e)
+            top[2] = d if top[2] is None else top[2] if d is None else min(d, top[2])
         else:
-            out.append((s, e))
+            merged.append([s, e, d])
+    out: list[tuple[int, int, int | None]] = []
+    at, bare = 0, True  # the end of the last cut; whether no word stays in the line before it
+    for s, e, d in merged:
+        before, broken, own = text[at:s].rpartition("\n")
+        bare = (bare or bool(broken)) and not own.strip()
+        while e < len(text) and text[e] != "\n" and text[e].isspace():
+            e += 1
+        if bare and e < len(text) and text[e] == "\n":
+            e += 1
+        out.append((s, e, d))
+        at = e
     return out
 
 
-def _clean(text: str, spans: list[tuple[int, int]]) -> str:
-    """text without spans; a line that loses all its words goes whole, else the blanks after a span go with it."""
+def _without(text: str, gone: list[tuple]) -> str:
     out, at = [], 0
-    for s, e in spans:
-        lead = text.rfind("\n", 0, s) + 1
-        stop = e
-        while stop < len(text) and text[stop] != "\n" and text[stop].isspace():
-            stop += 1
-        whole = not text[max(lead, at) : s].strip() and (stop == len(text) or text[stop] == "\n") and (at <= lead or not "".join(out[-1:]).rpartition("\n")[2].strip())
+    for s, e, *_ in gone:
         out.append(text[at:s])
-        at = min(len(text), stop + 1) if whole else stop
+        at = e
     out.append(text[at:])
     return "".join(out)
 
@@ -242,27 +263,25 @@ def remove_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     bound_batches(df.sparkSession)
     rest = [c for c in df.columns if c not in ("removed", "removed_chars")]
     rows = df.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("__d"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("__t"))
-    found = _occurrences(rows, text, min_words)
+    path = scratch(df.sparkSession, "units")
+    _occurrences(rows, text, min_words).write.parquet(path)
+    found = df.sparkSession.read.parquet(path)
     repeats = found.filter("first").groupBy("h1", "h2").agg(F.min("__d").alias("low"), F.max("__d").alias("high")).filter("high > low").select("h1", "h2", "low")
     later = found.filter("first").join(repeats, ["h1", "h2"]).filter("__d > low").select("__d", "__t", "start", "end", "low")
     again = found.filter("NOT first").select("__d", "__t", "start", "end", F.col("__d").alias("low"))
-    spans = later.unionByName(again).groupBy("__d", "__t").agg(F.array_sort(F.collect_set(F.struct("start", "end", F.nullif("low", F.lit(_LAST)).alias("first_doc_id")))).alias("removed"))
+    spans = later.unionByName(again).groupBy("__d", "__t").agg(F.collect_set(F.struct("start", "end", F.nullif("low", F.lit(_LAST)).alias("first_doc_id"))).alias("__spans"))
 
-    @F.pandas_udf("text string, removed_chars int")
+    @F.pandas_udf(f"text string, removed {REMOVED}, removed_chars int")
     def clean(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
         out = []
         for t, s in zip(texts, spans):
-            if t is None or s is None or not len(s):
-                out.append((t, 0))
-                continue
-            pairs = _closed(t, [(x["start"], x["end"]) for x in s], min_words)
-            covered = sum(b - a for a, b in pairs)
-            out.append((_clean(t, pairs), covered))
-        return pd.DataFrame(out, columns=["text", "removed_chars"])
+            gone = [] if t is None or s is None else cuts(t, [(x["start"], x["end"], x["first_doc_id"]) for x in s])
+            out.append((_without(t, gone) if gone else t, [dict(zip(("start", "end", "first_doc_id"), x)) for x in gone], sum(b - a for a, b, _ in gone)))
+        return pd.DataFrame(out, columns=["text", "removed", "removed_chars"])
 
-    joined = rows.join(spans, ["__d", "__t"], "left").withColumn("__made", clean(F.col(text), F.col("removed")))
+    joined = rows.join(spans, ["__d", "__t"], "left").withColumn("__made", clean(F.col(text), F.col("__spans")))
     cols = [F.col("__made.text").alias(c) if c == text else F.col(f"`{c}`") for c in rest]
-    return joined.select(*cols, F.coalesce("removed", F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, end: INT, first_doc_id: BIGINT>>)")).alias("removed"), F.col("__made.removed_chars").alias("removed_chars"))
+    return joined.select(*cols, "__made.removed", "__made.removed_chars")
 
 
 def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,6 +289,6 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_passages(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: texts without their repeated passages; every document stays."""
-    out = remove_passages(docs).select(*docs.columns)
+    """The pipeline's stage: texts without their repeated passages; every document stays, with its own columns."""
+    out = beside(docs, ("removed", "removed_chars"), remove_passages)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
