@@ -78,3 +78,75 @@ def test_text_that_pages_repeat_is_template(spark):
     keys = [(k, place) for place, k in enumerate([1, 2, 9, 1, 2, 3, 3])]
     assert h.valid_template(keys, [(9, [1, 2]), (9, [3])]) == {0, 1, 3, 4, 5, 6}
     assert h.valid_template(keys, [(9, [2, 1])]) == set() and h.valid_template(keys, [(9, [2, 3])]) == {1, 4, 5, 6}
+
+
+def brute_template(pages, share=h.SHARE, min_pages=h.MIN_PAGES):
+    """Classes of one host from real occurrence vectors."""
+    counts, places = {}, {}
+    for n, source in enumerate(pages):
+        seen = set()
+        for key, place in h.keys_of(h.parse(source)):
+            counts.setdefault(key, [0] * len(pages))[n] += 1
+            if key not in seen:
+                places.setdefault(key, []).append(place)
+            seen.add(key)
+    by = {}
+    for key, v in counts.items():
+        if sum(map(bool, v)) >= max(min_pages, share * len(pages)):
+            by.setdefault(tuple(v), set()).add(key)
+    return {(sum(map(bool, v)), frozenset(keys)) for v, keys in by.items()}, {k: sum(p) / len(p) for k, p in places.items()}
+
+
+def test_templates_equal_brute_force_over_occurrence_vectors(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
+    rows += [(10_000 + i, "http://mixed.example/", f"<body><nav>a</nav>{'<div class=box>buy</div>' * (i % 3)}<main><h1>T{i}</h1><p>x{i}</p>{'<p>more</p>' * (i % 2)}</main></body>") for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", h.host_of()).cache()
+    hosts = {}
+    for r in df.collect():
+        hosts.setdefault(r.host, []).append(r.html)
+    got = {r.host: r.classes for r in h.templates(df).collect()}
+    assert len(got) > 2
+    for host, pages in hosts.items():
+        want, place = brute_template(pages) if len(pages) >= h.MIN_PAGES else (set(), {})
+        assert {(c["pages"], frozenset(c["keys"])) for c in got.get(host, [])} == want
+        for c in got.get(host, []):
+            assert [place[k] for k in c["keys"]] == sorted(place[k] for k in c["keys"])
+
+
+def extracted(spark, pages, **options):
+    rows = [(i, "http://h.example/", p) for i, p in enumerate(pages)]
+    return [r.text for r in sorted(h.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), **options).collect(), key=lambda r: r.page_id)]
+
+
+def test_without_the_template_the_result_is_worse(spark):
+    """Boilerplate under neutral names inside the article, and a layout of divs without an article: the host's template finds both."""
+    story = [f"The {n}th story tells of day {n * 7}" for n in range(40)]
+    inside = ["<body><nav>m</nav><article><div>Read this first</div><h1>{0}</h1><p>{1} and it goes on for a while.</p><div>Tell your friends</div></article></body>".format(n, s) for n, s in enumerate(story)]
+    # one page alone can't tell its side column, here longer than the story, from the story
+    divs = ["<body><div class='one'><div>{2}</div></div><div class='two'><h2>{0}</h2><p>{1} and it goes on for a while.</p></div></body>".format(n, s, "Weather for the coming days: rain, then sun, and wind from the west for all of us. " if n % 4 == 0 else f"Now {n}") for n, s in enumerate(story)]
+    for pages, want in ((inside, [f"{n} {s} and it goes on for a while." for n, s in enumerate(story)]), (divs, [f"{n} {s} and it goes on for a while." for n, s in enumerate(story)])):
+        assert extracted(spark, pages) == want
+        off = extracted(spark, pages, min_pages=10**9)
+        assert sum(a == b for a, b in zip(off, want)) <= 30 and all(set(w.split()) <= set(o.split()) or "Weather" in o for o, w in zip(off, want))
+
+
+def test_names_and_broken_markup_lose_no_text(spark):
+    for source, want in [
+        ("<article><p>One.</p><p class='share-price'>Price rose.</p></article>", "One. Price rose."),
+        ("<article><p>One.</p><div class='social history'>Two.</div><section id='related-work'>Three.</section></article>", "One. Two. Three."),
+        ("<article><p>So <math><mi>x</mi>=1</math> holds.</p></article>", "So x=1 holds."),
+        ("<article><p>One <svg><path d='M0'><p>Two.</p><p>Three.</p></article>", "One Two. Three."),
+        ("<article><title>x<p>One.</p></article>", "x One."),
+        ("<article><p>One.</p><iframe src=x></iframe><object><p>no</p></object><noscript>no</noscript><p>Two.</p></article>", "One. Two."),
+        ("<article><h1>H</h1><p>Quite some text.</p><div class='ad-slot'>no</div><div class='comment-list'>no</div><ul class='share buttons'><li>no</ul></article>", "H Quite some text."),
+        ("<body><div class=menu><h1>Menu</h1><p>Soup and bread, fish with rice, cake.</p></div></body>", "Menu Soup and bread, fish with rice, cake."),
+        ("<table><tr><td>a<td>b<tr><td>c</table>", "a b c"),
+        ("<article>x" + "<div>" * 20_000 + "deep", "x deep"),
+        ("<article>" + "<p>word</p>" * 50_000 + "</article>", " ".join(["word"] * 50_000)),
+    ]:
+        assert h.main_text(source) == want, source[:80]
+
+
+def test_a_large_host_and_a_token_that_one_page_repeats(spark):
+    pages = [f"<body><div id=a>Site</div><div class=main{n}><p>Text {n}.</p></div>{'<div id=a>Site</div>' * (n == 5)}</body>" for n in range(200)]
+    assert extracted(spark, pages) == [f"Text {n}." for n in range(200)]
