@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.batches import bound_batches
+from corvane.llm.batches import beside, bound_batches
 from corvane.session import table
 
 #: Length of a language's profile, and of a document's.
@@ -175,6 +175,6 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: profiles from the documents' own labels; those without a language, or too far from every profile, go."""
-    scored = identify(docs, learn_documents(docs))
-    return scored.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    """The pipeline's stage: profiles from the documents' own labels; those without a language, or too far from every profile, go. The others leave with their own columns."""
+    profiles = learn_documents(docs)
+    return beside(docs, ("lang_pred", "score"), lambda d: identify(d, profiles).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)))

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.llm.batches import beside
 from corvane.llm.rules import WORD
 from corvane.session import cut, table
 
@@ -29,10 +30,10 @@ _KEYS = ("__source", "__class", "__bin")
 
 
 def sized(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """Adds size and what orders the rows: source key, size class (eight to an octave), hash of the id, hash bin."""
+    """Adds size and what orders the rows: source key, size class (eight to an octave), hash of the id and the text (so rows without an id spread too), hash bin."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     rest = [F.col(f"`{c}`") for c in df.columns if c not in _ADDED]
-    out = df.select(*rest, size.alias("size"), F.coalesce(F.concat(F.lit("v"), F.col(source).cast("string")), F.lit("~null")).alias("__source"), F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long").alias("__hash"))
+    out = df.select(*rest, size.alias("size"), F.coalesce(F.concat(F.lit("v"), F.col(source).cast("string")), F.lit("~null")).alias("__source"), F.conv(F.substring(F.md5(F.concat_ws(" ", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).cast("binary")), 1, 15), 16, 10).cast("long").alias("__hash"))
     return out.withColumns({"__class": F.expr("length(bin(size)) * 8 + shiftright(size * 8, length(bin(size)) - 1) - 8"), "__bin": F.shiftright("__hash", 48)})
 
 
@@ -72,9 +73,8 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str =
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: each document as often as the mix takes it."""
-    out = mix(docs).filter("copies > 0").withColumn("__copy", F.explode(F.expr("sequence(1, copies)")))
-    return out.select(*docs.columns)
+    """The pipeline's stage: each document as often as the mix takes it, with its own columns."""
+    return beside(docs, _ADDED, lambda d: mix(d).filter("copies > 0").withColumn("__copy", F.explode(F.expr("sequence(1, copies)"))))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH r AS (
   SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         coalesce('v' || source, '~null') AS s, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+         coalesce('v' || source, '~null') AS s, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ' ' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h
   FROM documents),
 k AS (SELECT *, length(bin(size)) * 8 + ((size * 8) >> (length(bin(size)) - 1)::INT) - 8 AS c, h >> 48 AS b FROM r),
 w AS (

@@ -17,8 +17,8 @@ Added tokens of the tokenizer's file are found in the texts first, as the librar
 piece. The query takes special ones (<|endoftext|>) for tokens too, the library's default; ``write_tokens`` does so with ``special``
 and otherwise encodes them as ordinary text, the library's ``encode_special_tokens``.
 
-Nulls and empty texts have just the end id; repeated rows are written each; rows without doc_id come first;
-an empty table gives no files; further columns aren't written.
+Nulls and empty texts have just the end id; repeated rows are written each, ties of doc_id in the order of a hash of their texts; rows without doc_id come first; a
+document of more than GROUP_TOKENS tokens is a row group of its own, and a task holds one group and one Arrow batch; an empty table gives no files; further columns aren't written.
 """
 
 from __future__ import annotations
@@ -153,7 +153,8 @@ def write_tokens(df: DataFrame, out: str, doc_id: str = "doc_id", text: str = "t
             fs.move(own, name)
             yield pa.RecordBatch.from_pylist([{"part": part, "docs": docs, "tokens": total, "file": name}], pa.schema([("part", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64()), ("file", pa.string())]))
 
-    ordered = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # by the text's hash too, so rows that share an id, or have none, don't all go to one task
+    ordered = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     files = [r.asDict() for r in ordered.mapInArrow(write, "part int, docs long, tokens long, file string").collect()]
     files.sort(key=lambda r: r["part"])
     start = 0

@@ -6,13 +6,14 @@ product (|q|^2 + |v|^2 - |q - v|^2) / 2 has an upper bound. Candidates are evalu
 the search stops when the next bound lies below the k-th score so far: nothing beyond can enter the result, so it is exact.
 
 Candidates and queries are packed into blocks of BLOCK and QUERIES rows; each query block meets each
-candidate block once, through a join on the block's number, and gives k rows a query. The pivots, a bounded sample, are
+candidate block once, through a join on the block's number, and gives at most k rows a query. A task keeps the k-th scores of the
+query blocks it has seen, so a later block starts with a threshold. The pivots, a bounded sample, are
 the only thing sent to all executors.
 
-Defined results: vectors that are null, empty, or hold null or non-finite components take no part; shorter vectors
-count as padded with zeros; ties go to the smaller id; rows that repeat an id are one vector if equal, else each is a
-vector of its own; fewer than k candidates give fewer rows; an empty table gives an empty result. Scores are exact while they
-stay below 2^53.
+Defined results: vectors that are null, or hold null or non-finite components, take no part; shorter vectors, empty ones too,
+count as padded with zeros; ties go to the smaller id; every row is a vector of its own, so rows that repeat a query's id are
+candidates for it, equal rows are found as often as they occur, and each query row has ranks of its own; fewer than k candidates give fewer rows; an empty
+table gives an empty result; vectors may be of any length that a row holds; further columns are ignored. Scores are exact while they stay below 2^53.
 """
 
 from __future__ import annotations
@@ -28,15 +29,17 @@ from corvane.session import cut, table
 
 #: Pivots are picked, each the farthest from those before, out of at most PIVOT_SAMPLE vectors.
 PIVOTS, PIVOT_SAMPLE = 48, 2000
-BLOCK, QUERIES = 8192, 512
+BLOCK, QUERIES = 4096, 512
+#: Query blocks whose thresholds a task keeps.
+THRESHOLDS = 4096
 K = 5
 
 
 def scaled(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: float = 256.0) -> DataFrame:
-    """id and v, the vectors that take part, as whole numbers."""
+    """row (a number of its own), id and v, the vectors that take part, as whole numbers."""
     v = F.col(embedding).cast("array<double>")
-    fine = F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return df.filter(fine).select(F.col(vec_id).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * scale).cast("double")).alias("v")).distinct()
+    fine = F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return df.filter(fine).select(F.monotonically_increasing_id().alias("row"), F.col(vec_id).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * scale).cast("double")).alias("v"))
 
 
 def choose_pivots(rows: DataFrame, pivots: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> np.ndarray:
@@ -57,55 +60,62 @@ def choose_pivots(rows: DataFrame, pivots: int = PIVOTS, sample: int = PIVOT_SAM
 
 
 def _blocks(rows: DataFrame, pivots: np.ndarray, size: int, count: int) -> DataFrame:
-    """block, ids, vectors and distances to the pivots, as bytes; blocks of at most size rows."""
+    """block, rows' numbers, ids, vectors and distances to the pivots, as bytes; blocks of at most size rows. A task holds one block at a time."""
     blocks = max(1, -(-count // size))
     width = pivots.shape[1]
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list] = {}
+        held: list[tuple] = []
+        at = -1
 
-        def give(b: int):
-            ids = np.array([i for i, _ in held[b]], np.int64)
-            m = np.zeros((len(ids), width))
-            for row, (_, v) in zip(m, held.pop(b)):
+        def give():
+            m = np.zeros((len(held), width))
+            for row, (*_, v) in zip(m, held):
                 row[: len(v)] = v
             d = np.sqrt(np.maximum(0, np.square(m).sum(1)[:, None] + np.square(pivots).sum(1) - 2 * m @ pivots.T))
-            return pd.DataFrame({"block": [b], "ids": [ids.tobytes()], "m": [m.tobytes()], "d": [d.astype(np.float32).tobytes()]})
+            numbers, ids = (np.array(x, np.int64).tobytes() for x in list(zip(*held))[:2])
+            return pd.DataFrame({"block": [at], "rows": [numbers], "ids": [ids], "m": [m.tobytes()], "d": [d.astype(np.float32).tobytes()]})
 
         for batch in batches:
-            for b, i, v in zip(batch.block.tolist(), batch.id.tolist(), batch.v):
-                held.setdefault(b, []).append((i, v))
-                if len(held[b]) >= size:
-                    yield give(b)
-        for b in list(held):
-            yield give(b)
-
-    keyed = rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int"))
-    return keyed.repartition(min(blocks, 4096), "block").mapInPandas(pack, "block int, ids binary, m binary, d binary")
-
-
-def search_block(q, dq, ids, m, d, k: int, own: np.ndarray, evaluated: list | None = None):
-    """Best k of one candidate block for each query, in order: (row of query, id, score)."""
+            for b, *row in zip(batch.block.tolist(), batch.row.tolist(), batch.id.tolist(), batch.v):
+                if held and (b != at or len(held) >= size):
+                    yield give()
+                    held = []
+                at = b
+                held.append(tuple(row))
+        if held:
+            yield give()
+
+    keyed = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
+    packed = keyed.repartition(min(blocks, 4096), "block").sortWithinPartitions("block")
+    return packed.mapInPandas(pack, "block int, rows binary, ids binary, m binary, d binary")
+
+
+def search_block(q, dq, rows, ids, m, d, k: int, own: np.ndarray, floor: np.ndarray | None = None, evaluated: list | None = None):
+    """Best k of one candidate block for each query, in order: (row of query, id, score). own: the queries' rows. floor: k-th scores so far, raised where the block has k better ones; what lies below isn't given."""
     sizes = np.square(m).sum(axis=1)
     for r in range(len(q)):
-        gap = np.abs(d - dq[r]).max(axis=1).astype(np.float64)
+        least = -np.inf if floor is None else floor[r]
+        gap = np.abs(d - dq[r]).max(axis=1).astype(np.float64) if d.shape[1] else np.zeros(len(m))
         gap = np.maximum(0, gap * (1 - 1e-6) - 1e-3)  # distances are kept as float32; rounding mustn't tighten a bound
         bound = (q[r] @ q[r] + sizes - gap * gap) / 2
-        order = np.argsort(-bound, kind="stable")
+        order = np.flatnonzero(bound >= least - 1e-6)
+        order = order[np.argsort(-bound[order], kind="stable")]
         best: list[tuple[float, int]] = []
         step, at = 64, 0
         while at < len(order):
-            if len(best) == k and bound[order[at]] < -best[-1][0] - 1e-6:
+            if bound[order[at]] < least - 1e-6:
                 break
             part = order[at : at + step]
             at += step
             step = min(2 * step, 2048)
             score = m[part] @ q[r]
+            ok = (score >= least) & (rows[part] != own[r])
+            best = sorted(best + list(zip((-score[ok]).tolist(), ids[part[ok]].tolist())))[:k]
             if len(best) == k:
-                ok = score >= -best[-1][0]
-                part, score = part[ok], score[ok]
-            fresh = [(-s, i) for s, i in zip(score.tolist(), ids[part].tolist()) if i != own[r]]
-            best = sorted(best + fresh)[:k]
+                least = max(least, -best[-1][0])
+        if floor is not None:
+            floor[r] = least
         if evaluated is not None:
             evaluated.append(at)
         for s, i in best:
@@ -123,21 +133,28 @@ def top_k(df: DataFrame, queries, k: int = K, vec_id: str = "vec_id", embedding:
     pivots = choose_pivots(rows)
     width, n_pivots = pivots.shape[1], len(pivots)
     blocks = max(1, -(-n // block))
-    right = _blocks(rows, pivots, block, n)
-    left = _blocks(asked, pivots, QUERIES, n_asked).select("ids", "m", "d", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    pairs = left.select("block", *[F.col(c).alias(f"q_{c}") for c in ("ids", "m", "d")]).join(right, "block")
+    parts = min(blocks, 4096)
+    right = _blocks(rows, pivots, block, n).repartition(parts, "block")
+    left = _blocks(asked, pivots, QUERIES, n_asked).select(F.struct("block", F.length("rows"), F.xxhash64("rows")).cast("string").alias("name"), "rows", "ids", "m", "d", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    pairs = left.select("block", *[F.col(c).alias(f"q_{c}") for c in ("name", "rows", "ids", "m", "d")]).repartition(parts, "block").join(right, "block")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        floors: dict[str, np.ndarray] = {}
         for b in batches:
             for r in b.itertuples():
-                own, ids = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.ids, np.int64)
-                q, m = np.frombuffer(r.q_m).reshape(-1, width), np.frombuffer(r.m).reshape(-1, width)
+                own, asked_ids = np.frombuffer(r.q_rows, np.int64), np.frombuffer(r.q_ids, np.int64)
+                rows, ids = np.frombuffer(r.rows, np.int64), np.frombuffer(r.ids, np.int64)
+                q, m = np.frombuffer(r.q_m).reshape(len(own), width), np.frombuffer(r.m).reshape(len(ids), width)
                 dq, d = np.frombuffer(r.q_d, np.float32).reshape(-1, n_pivots), np.frombuffer(r.d, np.float32).reshape(-1, n_pivots)
-                found = list(search_block(q, dq, ids, m, d, k, own))
-                yield pd.DataFrame({"query_id": [int(own[x]) for x, _, _ in found], "vec_id": [i for _, i, _ in found], "score": [int(s) for *_, s in found]}, columns=["query_id", "vec_id", "score"])
-
-    found = pairs.mapInPandas(search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                if r.q_name not in floors and len(floors) >= THRESHOLDS:
+                    floors.pop(next(iter(floors)))  # it only starts anew
+                floor = floors.setdefault(r.q_name, np.full(len(own), -np.inf))
+                found = list(search_block(q, dq, rows, ids, m, d, k, own, floor))
+                at = [x for x, _, _ in found]
+                yield pd.DataFrame({"row": own[at], "query_id": asked_ids[at], "vec_id": [i for _, i, _ in found], "score": [int(s) for *_, s in found]}, columns=["row", "query_id", "vec_id", "score"])
+
+    found = pairs.mapInPandas(search, "row long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -147,11 +164,11 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+  SELECT q.n, q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.n <> c.n WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -72,5 +72,5 @@ def test_defined_results(spark):
     assert all(0 <= r.score <= 1 for r in got)
     assert langid.identify(df, langid.learn(df.limit(0))).filter("lang_pred != 'und'").count() == 0
     assert langid.identify(df.limit(0), model).count() == 0
-    kept = langid.keep_identified(df.drop("score"))
-    assert kept.columns == ["doc_id", "text", "lang"] and kept.filter("text is null").count() == 0
+    kept = langid.keep_identified(df)
+    assert kept.columns == df.columns and {r.score for r in kept.collect()} == {"clash"} and kept.filter("text is null").count() == 0

@@ -58,6 +58,9 @@ def test_defined_results(spark):
     assert mixing.mix(df.limit(0)).count() == 0
     out = mixing.mixed_documents(df)
     assert out.columns == df.columns and out.count() == sum(r.copies for r in rows)
+    assert {(r["size"], r.target) for r in out.collect()} == {("clash", "clash")}
+    rows = mixing.sized(spark.createDataFrame([(None, f"w{i} x", "a") for i in range(500)], "doc_id long, text string, source string"))
+    assert rows.select("__bin").distinct().count() > 400  # rows without an id aren't one hot bin
 
 
 def test_query_against_sql(spark, sf):
