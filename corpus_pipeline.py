@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a table; all but the last return the columns of documents.
 ``run`` writes each stage's result to the shared folder and hands the next one what it reads back, so a lost
 executor costs one stage's tasks at most and no stage is computed twice.
+
+Defined results, whatever the rows: null and empty texts and texts without a letter go in the first stage; texts of any length count whole;
+rows alike in doc_id and text leave one, other rows that share a doc_id are judged by their texts; rows without doc_id stay in the second stage, as
+no document is their representative; passages are cut from the later documents only; the mix decides by a hash of doc_id and text, so reruns agree;
+columns of the operators' names keep their own values; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9. One document of each group of near copies stays."""
+    """Operator 9. One document of each group of near copies stays; a text goes only with another of its class staying."""
     return simhash.one_of_each(docs)
 
 
