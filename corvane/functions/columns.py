@@ -101,3 +101,36 @@ def human_bytes(n) -> Column:
 def percent_bar(share, width: int = 20) -> Column:
     full = F.least(F.lit(width), F.greatest(F.lit(0), F.round(share * width))).cast("int")
     return F.concat(F.repeat(F.lit("#"), full), F.repeat(F.lit("."), F.lit(width) - full))
+
+
+def short_bytes(n) -> Column:
+    """Like human_bytes without blank or fraction: 12K, 3M."""
+    return (
+        F.when(n >= 1 << 30, F.format_string("%dG", (n / (1 << 30)).cast("long"))).when(n >= 1 << 20, F.format_string("%dM", (n / (1 << 20)).cast("long")))
+        .when(n >= 1 << 10, F.format_string("%dK", (n / (1 << 10)).cast("long"))).otherwise(F.format_string("%dB", n.cast("long")))
+    )
+
+
+def comma_number(n) -> Column:
+    return F.format_number(n.cast("long"), 0)
+
+
+def uptime(seconds) -> Column:
+    """2d 3h, 3h 4m, 4m 5s or 5s."""
+    s = seconds.cast("long")
+    two = lambda a, b, c, d: F.format_string(f"%d{c} %d{d}", (s / a).cast("long"), (s % a / b).cast("long"))
+    return F.when(s >= 86400, two(86400, 3600, "d", "h")).when(s >= 3600, two(3600, 60, "h", "m")).when(s >= 60, two(60, 1, "m", "s")).otherwise(F.format_string("%ds", s))
+
+
+def dashed_uuid(raw) -> Column:
+    """32 hexadecimal digits as 8-4-4-4-12."""
+    return F.regexp_replace(F.lower(raw), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
+def flags_line(options: dict[str, Column]) -> Column:
+    """--name=value for each option that is set, --name for true, in the order of the names; nothing for nulls and false."""
+    parts = []
+    for name, value in sorted(options.items()):
+        text = value.cast("string")
+        parts.append(F.when(text == "true", F.lit(f"--{name}")).when(text.isNotNull() & (text != "false"), F.concat(F.lit(f"--{name}="), text)))
+    return F.concat_ws(" ", *parts)

@@ -5,10 +5,11 @@ from __future__ import annotations
 import html
 import re
 from html.parser import HTMLParser
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType  # a type, not its name: workers import this module and can't parse names
+from pyspark.sql.types import BinaryType, StringType  # a type, not its name: workers import this module and can't parse names
 
 _BLOCK = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
 _SILENT = frozenset(("script", "style"))
@@ -85,8 +86,20 @@ class _Joined(_Texts):
         self._open = False
 
 
+#: Markup that a page can be cut at; what else begins with < needs the parser.
+_CUT = re.compile(r"<script\b[^<>]*>(?:(?!</?script).)*</script\s*>|<style\b[^<>]*>(?:(?!</?style).)*</style\s*>|<!--(?!-?>)(?:(?!--).)*-->|<!doctype[^<>]*>|</?(?!script|style|xmp|iframe|noembed|noframes|textarea|title|plaintext|noscript)[a-z][a-z0-9]*(?:\s[^<>\"'`]*(?:\"[^<>\"]*\"[^<>\"'`]*)*)?>", re.S | re.I)
+
+
 def visible_text(source: str) -> str:
     """Text nodes joined by one blank each, references and inner white space as they are; for the index."""
+    pieces = _CUT.split(source) if "<title>" not in source else _CUT.split(re.sub(r"<title>([^<&]*)</title>", r"<b>\1</b>", source, count=1))
+    if not any("<" in x for x in pieces):
+        return " ".join(x for x in pieces if x.strip())
+    return parsed_text(source)
+
+
+def parsed_text(source: str) -> str:
+    """The same by the parser, for any markup."""
     p = _Joined(decode=False)
     p.feed(source)
     p.close()
@@ -208,6 +221,12 @@ def minify(source: str, group: str) -> str:
         return re.sub(r"\s*([{}:;,>])\s*", r"\1", re.sub(r"\s+", " ", text)).replace(";}", "}").strip()
     if group == "svg":
         return re.sub(r">\s+<", "><", re.sub(r"(?s)<!--.*?-->", "", source)).strip()
+    if group == "js":
+        # only what can't change a program: blank lines, indents and blanks at line ends, and lines that are comments, where no string or pattern goes over lines
+        if "`" in source or re.search(r"\\\n", source):
+            return source
+        lines = [x.strip() for x in source.split("\n")]
+        return "\n".join(x for x in lines if x and not x.startswith("//")) if "/*" not in source else "\n".join(x for x in lines if x)
     return source
 
 
@@ -235,6 +254,12 @@ def is_cjk(c: str) -> bool:
 
 
 _CJK = re.compile("([　-鿿가-힯豈-﫿]+)")
+
+
+def has_cjk(text: str) -> bool:
+    return _CJK.search(text) is not None
+
+
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -272,6 +297,87 @@ def _udf(f):
 
 
 strip_html_udf, visible_text_udf, markdown_udf = _udf(strip_html), _udf(visible_text), _udf(markdown)
+#: The same, which the optimiser doesn't repeat for a filter over it.
+visible_text_once = _udf(visible_text).asNondeterministic()
+
+
+def entry_href(slug: str, path: str) -> str:
+    """/slug/path with each segment percent-encoded, so any path stays one URL."""
+    return "/" + "/".join(quote(p, safe="!$&'()*+,;=:@-._~") for p in [slug, *path.split("/")])
+
+
+@F.pandas_udf(StringType())
+def entry_href_udf(slug: pd.Series, path: pd.Series) -> pd.Series:
+    return pd.Series([None if s is None or p is None else entry_href(s, p) for s, p in zip(slug, path)], dtype=object)
+
+
+_ORDERED, _ITEM = re.compile(r"\s*\d+\.\s+"), re.compile(r"\s*[-*+]\s+")
+
+
+def _inline(text: str) -> str:
+    out = html.escape(text, quote=False)
+    held: list[str] = []
+
+    def code(m):
+        held.append(f"<code>{m.group(1)}</code>")
+        return f"\0{len(held) - 1}\0"
+
+    out = re.sub(r"`([^`]+)`", code, out)
+    out = re.sub(r"!\[([^\]]*)\]\(([^)\s]+)\)", r'<img src="\2" alt="\1">', out)
+    out = re.sub(r"\[([^\]]+)\]\(([^)\s]+)\)", r'<a href="\2">\1</a>', out)
+    out = re.sub(r"\*\*(.+?)\*\*", r"<strong>\1</strong>", out)
+    out = re.sub(r"(?<!\*)\*([^*]+)\*", r"<em>\1</em>", out)
+    return re.sub("\0(\\d+)\0", lambda m: held[int(m.group(1))], out)
+
+
+def markdown_to_html(source: str) -> str:
+    """Headings, paragraphs, lists, quotes, code blocks, tables, rules, links, images and emphasis."""
+    out: list[str] = []
+    lines = source.replace("\r\n", "\n").split("\n")
+    at = 0
+
+    def run(test) -> list[str]:
+        nonlocal at
+        first = at
+        while at < len(lines) and test(lines[at]):
+            at += 1
+        return lines[first:at]
+
+    while at < len(lines):
+        line = lines[at]
+        if not line.strip():
+            at += 1
+        elif line.startswith("```"):
+            at += 1
+            body = run(lambda x: not x.startswith("```"))
+            at += 1
+            out.append("<pre><code>" + html.escape("\n".join(body), quote=False) + "</code></pre>")
+        elif m := re.match(r"(#{1,6})\s+(.*?)\s*#*$", line):
+            at += 1
+            out.append(f"<h{len(m.group(1))}>{_inline(m.group(2))}</h{len(m.group(1))}>")
+        elif re.fullmatch(r"\s*([-*_])(\s*\1){2,}\s*", line):
+            at += 1
+            out.append("<hr>")
+        elif line.startswith(">"):
+            body = run(lambda x: x.startswith(">"))
+            out.append("<blockquote>" + markdown_to_html("\n".join(re.sub("^> ?", "", x) for x in body)) + "</blockquote>")
+        elif "|" in line and at + 1 < len(lines) and re.fullmatch(r"\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*", lines[at + 1]):
+            body = run(lambda x: "|" in x)
+            cells = [[c.strip() for c in x.strip().strip("|").split("|")] for k, x in enumerate(body) if k != 1]
+            rows = ["<tr>" + "".join(f"<{t}>{_inline(c)}</{t}>" for c in r) + "</tr>" for t, r in zip(["th"] + ["td"] * len(cells), cells)]
+            out.append("<table>" + "".join(rows) + "</table>")
+        elif (kind := _ORDERED if _ORDERED.match(line) else _ITEM if _ITEM.match(line) else None) is not None:
+            body = run(lambda x: bool(kind.match(x)))
+            tag = "ol" if kind is _ORDERED else "ul"
+            out.append(f"<{tag}>" + "".join(f"<li>{_inline(kind.sub('', x, count=1))}</li>" for x in body) + f"</{tag}>")
+        else:
+            at += 1
+            rest = run(lambda x: bool(x.strip()) and not re.match(r"(#{1,6}\s|```|>)", x) and not _ITEM.match(x) and not _ORDERED.match(x))
+            out.append("<p>" + _inline("\n".join([line, *rest])) + "</p>")
+    return "\n".join(out)
+
+
+markdown_to_html_udf = _udf(markdown_to_html)
 
 
 def snippet_udf(query: str, most: int):
@@ -284,3 +390,14 @@ def section_udf(heading: str):
 
 def minify_udf(group: str):
     return _udf(lambda t: minify(t, group))
+
+
+@F.pandas_udf(StringType())
+def minify_any_udf(s: pd.Series, group: pd.Series) -> pd.Series:
+    """Each text by its own group; nulls stay."""
+    return pd.Series([None if t is None else minify(t, g) for t, g in zip(s, group)], dtype=object)
+
+
+@F.pandas_udf(BinaryType())
+def strip_jpeg_udf(s: pd.Series) -> pd.Series:
+    return s.map(lambda b: strip_jpeg(bytes(b)), na_action="ignore")

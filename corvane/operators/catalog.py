@@ -25,9 +25,9 @@ def by_title(entries: DataFrame, title: str) -> DataFrame:
 
 
 def main_entry(entries: DataFrame, metadata: DataFrame) -> DataFrame:
-    """The entry whose path the metadata key main_entry holds."""
-    key = metadata.filter("key = 'main_entry'").select(F.col("value").cast("string").alias("path")).limit(1)
-    return entries.join(F.broadcast(key), "path", "left_semi")
+    """Each archive's entry whose path its metadata key main_entry holds."""
+    key = metadata_value(metadata, "main_entry").select("archive", F.col("value").cast("string").alias("path"))
+    return entries.join(key, ["archive", "path"], "left_semi")
 
 
 def front(entries: DataFrame) -> DataFrame:
@@ -58,11 +58,39 @@ def ranked(df: DataFrame, *order, name: str = "rank") -> DataFrame:
     return placed.withColumn("__part", part).join(starts, "__part").withColumn(name, F.col("__start") + row + 1).drop("__part", "__start", "__at")
 
 
+def running(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], size: str = "size", name: str = "before") -> DataFrame:
+    """Adds the sum of ``size`` over the rows before, in this order within equal keys. In two levels like ``ranked``: a key that holds most of the rows is spread over many tasks."""
+    placed = cut(df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()))
+    along = Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("__part", *keys).agg(F.sum(size).alias("__sum"))  # at most a row a partition and key
+    starts = sums.withColumn("__start", F.coalesce(F.sum("__sum").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__sum")
+    out = placed.withColumn("__own", F.coalesce(F.sum(size).over(along), F.lit(0))).join(starts, ["__part", *keys])
+    return out.withColumn(name, F.col("__start") + F.col("__own")).drop("__part", "__start", "__own")
+
+
 def browse_titles(entries: DataFrame, offset: int, limit: int = 50, most: int = 200) -> DataFrame:
     """One page of the entries in title order."""
     return entries.orderBy("title", "entry_id").offset(max(0, offset)).limit(min(max(1, limit), most))
 
 
+def title_page(entries: DataFrame, offset: int, limit: int = 50, most: int = 200) -> DataFrame:
+    """A page of titles with total_count, the number of entries there are."""
+    total = entries.agg(F.count("*").alias("total_count"))
+    return browse_titles(entries, offset, limit, most).select("archive", "entry_id", "path", "title").crossJoin(total)  # one row
+
+
+def by_title_order(entries: DataFrame, redirects: DataFrame) -> DataFrame:
+    """All entries and redirects with their place in the order of (title, path, id), from 1."""
+    title = F.col("title") if "title" in redirects.columns else F.lit("")
+    both = entries.select("archive", "entry_id", "path", "title").unionByName(redirects.select("archive", F.col("redirect_id").alias("entry_id"), "path", title.alias("title")))
+    return ranked(both, "title", "path", "entry_id")
+
+
+def metadata_value(metadata: DataFrame, key: str) -> DataFrame:
+    """archive and value (binary) of a metadata key."""
+    return metadata.filter(F.col("key") == key).select("archive", F.col("value").cast("binary").alias("value"))
+
+
 def letter(title: str = "title") -> Column:
     """A to Z by the first character, # for anything else; null for empty titles."""
     first = F.substring(F.col(title), 1, 1)
@@ -80,25 +108,35 @@ def browse_letter(entries: DataFrame, wanted: str, offset: int = 0, limit: int =
 
 
 def resolve(redirects: DataFrame, content: DataFrame) -> DataFrame:
-    """redirect_id, entry_id and status (resolved, loop or broken) of each redirect.
+    """redirect_id, entry_id and status (resolved, loop or broken) of each redirect, within its archive if the tables have archives.
 
     Pointers are doubled, so a chain of n hops takes log2(n) joins; what still points at a redirect after
     enough rounds is in or behind a loop.
     """
-    state = cut(redirects.select("redirect_id", "target_id"))
+    keys = ["archive", "target_id"] if "archive" in redirects.columns else ["target_id"]
+    own_keys = keys[:-1]
+    state = cut(redirects.select(*own_keys, "redirect_id", "target_id"))
     rounds = math.ceil(math.log2(max(2, state.count()))) + 1
     for _ in range(rounds):
-        hop = state.select(F.col("redirect_id").alias("target_id"), F.col("target_id").alias("next"))
-        step = state.join(hop, "target_id", "left").select("redirect_id", F.coalesce("next", "target_id").alias("target_id"), (F.col("next").isNotNull()).alias("moved"))
+        hop = state.select(*own_keys, F.col("redirect_id").alias("target_id"), F.col("target_id").alias("next"))
+        step = state.join(hop, keys, "left").select(*own_keys, "redirect_id", F.coalesce("next", "target_id").alias("target_id"), (F.col("next").isNotNull()).alias("moved"))
         step = cut(step)
         state = step.drop("moved")
         if step.filter("moved").isEmpty():
             break
-    known = content.select(F.col("entry_id").alias("target_id"), F.lit(True).alias("known"))
-    own = redirects.select(F.col("redirect_id").alias("target_id"), F.lit(True).alias("again"))
-    out = state.join(known, "target_id", "left").join(own, "target_id", "left")
+    known = content.select(*own_keys, F.col("entry_id").alias("target_id"), F.lit(True).alias("known"))
+    own = redirects.select(*own_keys, F.col("redirect_id").alias("target_id"), F.lit(True).alias("again"))
+    out = state.join(known, keys, "left").join(own, keys, "left")
     status = F.when(F.col("known"), "resolved").when(F.col("again"), "loop").otherwise("broken")
-    return out.select("redirect_id", F.when(F.col("known"), F.col("target_id")).alias("entry_id"), status.alias("status"))
+    return out.select(*own_keys, "redirect_id", F.when(F.col("known"), F.col("target_id")).alias("entry_id"), status.alias("status"))
+
+
+def resolved_content(entries: DataFrame, redirects: DataFrame) -> DataFrame:
+    """archive, path, entry_id, mime_type, size and content of every path: an entry's own, a redirect's that of the entry it leads to. Redirects that lead nowhere have no row."""
+    rest = ["mime_type", "size", "content"]
+    ends = resolve(redirects, entries).filter("status = 'resolved'").join(redirects.select("archive", "redirect_id", "path"), ["archive", "redirect_id"])
+    led = ends.select("archive", "path", "entry_id").join(entries.select("archive", "entry_id", *rest), ["archive", "entry_id"])
+    return entries.select("archive", "path", "entry_id", *rest).unionByName(led.select("archive", "path", "entry_id", *rest))
 
 
 def is_redirect_id(column: str) -> Column:

@@ -2,74 +2,88 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.functions.columns import chunk_key, mime_group, path_tokens
-from corvane.operators.catalog import ranked
+from corvane.operators.catalog import ranked, running
 
 CHUNK_BYTES = 4 << 20
 
 
 def transform(entries: DataFrame) -> DataFrame:
-    """Markup made smaller by its group; other content as it is."""
+    """Markup, styles and images of the groups that can be made smaller; other content as it is and never sent to Python."""
     group = mime_group(F.col("mime_type"))
-    small = F.col("content")
-    for g in ("html", "css", "svg"):
-        small = F.when(group == g, T.minify_udf(g)(F.col("content"))).otherwise(small)
-    return entries.withColumn("content", small).withColumn("size", F.octet_length("content").cast("long"))
+    treated = group.isin("html", "css", "svg", "js")
+    small = T.minify_any_udf(F.when(treated, F.col("content")), F.when(treated, group))
+    return entries.withColumn("content", F.coalesce(small, F.col("content"))).withColumn("size", F.octet_length("content").cast("long"))
+
+
+def strip_images(entries: DataFrame) -> DataFrame:
+    """JPEG images (binary content) without their metadata segments."""
+    jpeg = F.split_part(F.col("mime_type"), F.lit(";"), F.lit(1)) == "image/jpeg"
+    small = T.strip_jpeg_udf(F.when(jpeg, F.col("content")))
+    return entries.withColumn("content", F.coalesce(small, F.col("content"))).withColumn("size", F.octet_length("content").cast("long"))
 
 
 def first_occurrences(entries: DataFrame) -> DataFrame:
-    """Adds blob_owner, the smallest entry_id with the same content. Groups are found by digest, so copies are counted before they meet, and no content is shuffled."""
-    hashed = entries.withColumn("digest", F.sha2("content", 256))
-    owner = hashed.groupBy("digest").agg(F.min("entry_id").alias("blob_owner"))
-    return hashed.select("entry_id", "mime_type", "size", "path", "digest").join(owner, "digest")
+    """Adds blob_owner, the archive's smallest entry_id with the same content. Groups are found by digest, so copies are counted before they meet, and no content is shuffled. Content that is null is its own."""
+    hashed = entries.select("archive", "entry_id", "mime_type", "size", "path", F.sha2("content", 256).alias("digest"))
+    owner = hashed.filter("digest IS NOT NULL").groupBy("archive", "digest").agg(F.min("entry_id").alias("blob_owner"))
+    return hashed.join(owner, ["archive", "digest"], "left").withColumn("blob_owner", F.coalesce("blob_owner", "entry_id"))
 
 
 def assign_ids(entries: DataFrame) -> DataFrame:
-    """Adds id, from 0 in the order of (chunk_key, path)."""
-    rows = entries.select("entry_id", "path", "mime_type", "size", chunk_key(F.col("mime_type"), F.col("size")).alias("chunk_key"))
-    return ranked(rows, "chunk_key", "path", "entry_id", name="__n").withColumn("id", F.col("__n") - 1).drop("__n")
+    """Adds id, in each archive from 0 in the order of (chunk_key, path)."""
+    rows = entries.select("archive", "entry_id", "path", "mime_type", "size", chunk_key(F.col("mime_type"), F.col("size")).alias("chunk_key"))
+    placed = ranked(rows, "archive", "chunk_key", "path", "entry_id", name="__n")
+    first = placed.groupBy("archive").agg(F.min("__n").alias("__first"))
+    return placed.join(first, "archive").withColumn("id", F.col("__n") - F.col("__first")).drop("__n", "__first")
+
+
+#: Chunks of an archive and key that one task packs greedily.
+STRETCH = 64
 
 
 def pack_chunks(entries: DataFrame, target: int = CHUNK_BYTES) -> DataFrame:
-    """Greedy packing in the order of (chunk_key, path): a chunk closes once it has ``target`` bytes. Adds chunk and blob_offset.
+    """Greedy packing in each archive in the order of (chunk_key, path): a chunk closes once it has ``target`` bytes. Adds chunk and blob_offset.
 
-    A sum that starts again depends on all rows before it, so a key is packed within ranges of rows: the range's
-    number is part of the chunk's. Only ids, keys and sizes take part, and each range is one sorted partition.
+    A sum that starts again depends on all rows before it, so a key is packed within stretches of STRETCH chunks' bytes, which the running sum
+    of sizes draws: the same on any cluster. The stretch's number is part of the chunk's. Only ids, keys and sizes take part.
     """
-    rows = entries.select("entry_id", "path", "size", chunk_key(F.col("mime_type"), F.col("size")).alias("chunk_key"))
+    rows = entries.select("archive", "entry_id", "path", F.coalesce("size", F.lit(0)).alias("size"), chunk_key(F.col("mime_type"), F.coalesce("size", F.lit(0))).alias("chunk_key"))
+    rows = running(rows, ("archive", "chunk_key"), ("path", "entry_id")).withColumn("stretch", F.floor(F.col("before") / (STRETCH * target)).cast("long"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        part, key, used, chunk = TaskContext.get().partitionId(), None, 0, -1
-        for b in batches:
-            out = []
-            for e, k, s in zip(b.entry_id.tolist(), b.chunk_key.tolist(), b["size"].tolist()):
-                if k != key or used >= target:
-                    key, used, chunk = k, 0, chunk + 1
-                out.append((e, k, f"{part}-{chunk}", used, s))
-                used += s
-            yield pd.DataFrame(out, columns=["entry_id", "chunk_key", "chunk", "blob_offset", "size"])
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["before", "path", "entry_id"], kind="stable")  # rows of size 0 share the sum with the next
+        used, chunk, out = 0, 0, []
+        for s, k in zip(rows["size"].tolist(), rows.stretch.tolist()):
+            if used >= target:
+                used, chunk = 0, chunk + 1
+            out.append((f"{k}-{chunk}", used))
+            used += s
+        rows["chunk"], rows["blob_offset"] = zip(*out)
+        return rows[["archive", "entry_id", "chunk_key", "chunk", "blob_offset", "size"]]
 
-    ordered = rows.repartitionByRange("chunk_key", "path").sortWithinPartitions("chunk_key", "path", "entry_id")
-    return ordered.mapInPandas(run, "entry_id long, chunk_key string, chunk string, blob_offset long, size long")
+    return rows.groupBy("archive", "chunk_key", "stretch").applyInPandas(run, "archive string, entry_id long, chunk_key string, chunk string, blob_offset long, size long")
 
 
 def bucket_chunks(entries: DataFrame, target: int = CHUNK_BYTES) -> DataFrame:
     """Packing without a sequential pass: a chunk is a stretch of the running sum of sizes within (archive, chunk_key)."""
-    by = Window.partitionBy("archive", "chunk_key").orderBy("path", "entry_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = entries.select("archive", "entry_id", "path", "size", chunk_key(F.col("mime_type"), F.col("size")).alias("chunk_key"))
-    before = F.coalesce(F.sum("size").over(by), F.lit(0))
-    rows = rows.withColumn("chunk", F.floor(before / target).cast("long"))
-    within = Window.partitionBy("archive", "chunk_key", "chunk").orderBy("path", "entry_id").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("blob_offset", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    rows = running(rows, ("archive", "chunk_key"), ("path", "entry_id")).withColumn("chunk", F.floor(F.col("before") / target).cast("long"))
+    first = F.min("before").over(Window.partitionBy("archive", "chunk_key", "chunk"))  # a chunk's rows
+    return rows.withColumn("blob_offset", F.col("before") - first).drop("before")
+
+
+def prefix_lengths(paths: DataFrame, key: str = "path", restart: int = 64) -> DataFrame:
+    """Adds the bytes that each key shares with the one before it in key order; a key that begins a block of ``restart`` shares none."""
+    placed = ranked(paths, key, name="__n")
+    part = F.floor((F.col("__n") - 1) / restart)
+    last = F.lag(key).over(Window.partitionBy(part).orderBy("__n"))  # a block's rows
+    return placed.withColumn("shared", F.when(last.isNull(), 0).otherwise(shared_prefix(last, F.col(key)))).drop("__n")
 
 
 def running_offsets(rows: DataFrame, order: str, size: str = "size", base: int = 0) -> DataFrame:
@@ -91,8 +105,11 @@ def token_table(entries: DataFrame, column: str = "path", least: int = 3, most:
 
 
 def shared_prefix(a: Column, b: Column) -> Column:
-    """Length of what two strings begin with alike, in characters."""
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(a), F.length(b)))), F.lit(0), lambda n, i: F.when((n == i - 1) & (F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i)), i).otherwise(n))
+    """Length of what two strings begin with alike, in bytes."""
+    x, y = F.hex(a.cast("binary")), F.hex(b.cast("binary"))
+    n = F.least(F.length(x), F.length(y))
+    pair = lambda s, i: F.substring(s, 2 * i - 1, F.lit(2))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), (n / 2).cast("int"))), F.lit(0), lambda k, i: F.when((k == i - 1) & (2 * i <= n) & (pair(x, i) == pair(y, i)), i).otherwise(k))
 
 
 def zstd_level(level: Column) -> Column:
@@ -135,10 +152,10 @@ def compress_chunks(packed: DataFrame, entries: DataFrame, level: int = 6) -> Da
         image = rows.chunk_key.iloc[0] == "image"
         small = zstandard.ZstdCompressor(1 if image else level).compress(raw)
         keep = image and len(small) >= len(raw)
-        return pd.DataFrame({"chunk": [rows.chunk.iloc[0]], "size": [len(raw)], "compression": [0 if keep else 1], "data": [raw if keep else small]})
+        return pd.DataFrame({"archive": [rows.archive.iloc[0]], "chunk_key": [rows.chunk_key.iloc[0]], "chunk": [rows.chunk.iloc[0]], "size": [len(raw)], "compression": [0 if keep else 1], "data": [raw if keep else small]})
 
-    joined = packed.select("entry_id", "chunk_key", "chunk", "blob_offset").join(entries.select("entry_id", "content"), "entry_id")
-    return joined.groupBy("chunk").applyInPandas(run, "chunk string, size long, compression int, data binary")
+    joined = packed.select("archive", "entry_id", "chunk_key", "chunk", "blob_offset").join(entries.select("archive", "entry_id", "content"), ["archive", "entry_id"])
+    return joined.groupBy("archive", "chunk_key", "chunk").applyInPandas(run, "archive string, chunk_key string, chunk string, size long, compression int, data binary")
 
 
 def metadata_defaults(found: DataFrame, today: str) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from corvane.functions import columns as C
 from corvane.functions import text as T
 from corvane.operators import catalog, checks, ingest, library, search, stats
-from corvane.session import table
+from corvane.session import scratch, table
+from corvane.sources import archive_source
 from corvane.sources.entries import ENTRIES_SQL, REDIRECTS_SQL, entries, redirects
 
 QUERIES: dict = {}
@@ -94,22 +95,41 @@ def browse_letter(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.browse_letter(entries(spark, sf).select("entry_id", "title"), "T")
 
 
-@query(
-    _R.replace("WITH ", "WITH RECURSIVE ", 1)
-    + """, walk AS (SELECT redirect_id, target_id AS t, 0 AS hops FROM redirects UNION ALL SELECT w.redirect_id, r.target_id, hops + 1 FROM walk w JOIN redirects r ON w.t = r.redirect_id)
-SELECT w.redirect_id, w.t AS entry_id, 'resolved' AS status FROM walk w JOIN entries e ON e.entry_id = w.t"""
-)
+_WALK = """, walk AS (SELECT archive, redirect_id, path, target_id AS t, 0 AS hops FROM redirects
+  UNION ALL SELECT w.archive, w.redirect_id, w.path, r.target_id, hops + 1 FROM walk w JOIN redirects r ON w.archive = r.archive AND w.t = r.redirect_id) """
+_WALKED = _R.replace("WITH ", "WITH RECURSIVE ", 1) + _WALK
+
+
+@query(_WALKED + "SELECT w.archive, w.redirect_id, w.t AS entry_id, 'resolved' AS status FROM walk w JOIN entries e ON e.archive = w.archive AND e.entry_id = w.t")
 def redirect_resolve(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.resolve(redirects(spark, sf), entries(spark, sf))
 
 
-_LOOPS = [(101, 102), (102, 103), (103, 7), (104, 104), (105, 106), (106, 105), (107, 105), (108, 999)]
+@query(_WALKED + """SELECT archive, path, entry_id, size, sha256(content) AS digest FROM entries
+UNION ALL SELECT w.archive, w.path, e.entry_id, e.size, sha256(e.content) FROM walk w JOIN entries e ON e.archive = w.archive AND e.entry_id = w.t""")
+def redirect_content(spark: SparkSession, sf: str) -> DataFrame:
+    """Every path with its content, those of redirects with that of the entry they lead to."""
+    rows = catalog.resolved_content(entries(spark, sf), redirects(spark, sf))
+    return rows.select("archive", "path", "entry_id", "size", F.sha2("content", 256).alias("digest"))
+
 
+_LOOPS = [("a", 101, 102), ("a", 102, 103), ("a", 103, 7), ("a", 104, 104), ("a", 105, 106), ("a", 106, 105), ("a", 107, 105), ("a", 108, 999), ("b", 101, 8), ("b", 102, 101), ("b", 104, 7)]
 
-@query(f"SELECT * FROM (VALUES (101, 7, 'resolved'), (102, 7, 'resolved'), (103, 7, 'resolved'), (104, NULL, 'loop'), (105, NULL, 'loop'), (106, NULL, 'loop'), (107, NULL, 'loop'), (108, NULL, 'broken')) t(redirect_id, entry_id, status) -- {_LOOPS}")
+
+@query("SELECT * FROM (VALUES ('a', 101, 7, 'resolved'), ('a', 102, 7, 'resolved'), ('a', 103, 7, 'resolved'), ('a', 104, NULL, 'loop'), ('a', 105, NULL, 'loop'), ('a', 106, NULL, 'loop'), ('a', 107, NULL, 'loop'), ('a', 108, NULL, 'broken'), ('b', 101, 8, 'resolved'), ('b', 102, 8, 'resolved'), ('b', 104, NULL, 'broken')) t(archive, redirect_id, entry_id, status)")
 def redirect_loops(spark: SparkSession, sf: str) -> DataFrame:
-    """A chain, a self loop, a loop of two, one that leads into it and a dangling target."""
-    return catalog.resolve(spark.createDataFrame(_LOOPS, "redirect_id long, target_id long"), spark.createDataFrame([(7,)], "entry_id long"))
+    """A chain, a self loop, a loop of two, one that leads into it and a dangling target; and an archive with the same numbers for others."""
+    return catalog.resolve(spark.createDataFrame(_LOOPS, "archive string, redirect_id long, target_id long"), spark.createDataFrame([("a", 7), ("b", 8)], "archive string, entry_id long"))
+
+
+@query(_R + ", a AS (SELECT archive, entry_id, path, title FROM entries UNION ALL SELECT archive, redirect_id, path, '' FROM redirects) SELECT archive, entry_id, path, title, row_number() OVER (ORDER BY title, path, entry_id) AS rank FROM a")
+def entries_by_title_order(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.by_title_order(entries(spark, sf), redirects(spark, sf))
+
+
+@query(_E + "SELECT archive, entry_id, path, title, (SELECT count(*) FROM entries) AS total_count FROM entries ORDER BY title, entry_id LIMIT 50 OFFSET 20")
+def title_page(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.title_page(entries(spark, sf).drop("content"), 20)
 
 
 @query()
@@ -153,14 +173,30 @@ def chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
     return stats.chunk_stats(rows.withColumn("chunk", F.struct("archive", "chunk_key", "chunk")))
 
 
-@query()
+_GREEDY = _E.replace("WITH ", "WITH RECURSIVE ", 1) + f""", k AS (SELECT archive, entry_id, path, coalesce(size, 0) AS size, {_KEY} AS chunk_key FROM entries),
+b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY archive, chunk_key ORDER BY path, entry_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM k),
+s AS (SELECT *, before // (64 * 65536) AS stretch FROM b),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY archive, chunk_key, stretch ORDER BY before, path, entry_id) AS n FROM s),
+g AS (SELECT archive, chunk_key, stretch, n, entry_id, size, 0::BIGINT AS c, 0::BIGINT AS blob_offset FROM n WHERE n = 1
+  UNION ALL SELECT n.archive, n.chunk_key, n.stretch, n.n, n.entry_id, n.size, CASE WHEN g.blob_offset + g.size >= 65536 THEN c + 1 ELSE c END, CASE WHEN g.blob_offset + g.size >= 65536 THEN 0 ELSE g.blob_offset + g.size END
+  FROM g JOIN n ON n.archive = g.archive AND n.chunk_key = g.chunk_key AND n.stretch = g.stretch AND n.n = g.n + 1) """
+
+
+@query(_GREEDY + "SELECT archive, entry_id, chunk_key, stretch || '-' || c AS chunk, blob_offset, size FROM g")
 def chunk_packing(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.pack_chunks(entries(spark, sf), 1 << 16)
 
 
-@query(_E + f"SELECT entry_id, row_number() OVER (ORDER BY {_KEY}, path, entry_id) - 1 AS id FROM entries")
+@query(_E + f"SELECT archive, entry_id, row_number() OVER (PARTITION BY archive ORDER BY {_KEY}, path, entry_id) - 1 AS id FROM entries")
 def entry_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return ingest.assign_ids(entries(spark, sf)).select("entry_id", "id")
+    return ingest.assign_ids(entries(spark, sf)).select("archive", "entry_id", "id")
+
+
+@query(_E + """, p AS (SELECT path, row_number() OVER (ORDER BY path) AS n FROM entries), q AS (SELECT path, n, lag(path) OVER (PARTITION BY (n - 1) // 64 ORDER BY n) AS last FROM p),
+h AS (SELECT path, n, hex(encode(path)) AS a, hex(encode(last)) AS b FROM q)
+SELECT path, coalesce((SELECT max(i) FROM (SELECT unnest(range(1, least(length(a), length(b)) // 2 + 1)) AS i) WHERE substring(a, 1, 2 * i::BIGINT) = substring(b, 1, 2 * i::BIGINT)), 0)::INTEGER AS shared FROM h""")
+def prefix_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.prefix_lengths(entries(spark, sf).select("path")).select("path", "shared")
 
 
 def _sections(spark: SparkSession, sf: str) -> DataFrame:
@@ -199,26 +235,35 @@ def mime_count_compare(spark: SparkSession, sf: str) -> DataFrame:
     return stats.compare_mime(e.filter("archive = 'src0'"), e.filter("archive IN ('src1', 'pages')"))
 
 
+_SOURCES = ("en.wiktionary.org", "de.wikiquote.org", "gutenberg.org", "fr.wikisource.org", "askubuntu.stackexchange.com", "my_stack_exchange", "stackoverflow.com", "devdocs.io", "mankier.com", "openwrt.org", "zimit.example", "www.ted.com", "vikidia.org", "en.wikipedia.org", "example.org", "")
+
+
 def _metadata(spark: SparkSession, sf: str) -> DataFrame:
     """Metadata of each source, some of it wrong on purpose by the source's number."""
     n = F.substring("source", 4, 9).cast("int")
     base = table(spark, sf, "documents").groupBy("source").agg(F.min("lang").alias("lang"), F.count("*").alias("n"))
+    pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), n % len(values) + 1)
     pairs = [
-        ("title", F.when(n % 7 == 3, "  ").otherwise(F.concat(F.lit("Collection "), "source"))), ("language", F.when(n % 5 == 1, F.upper("lang")).when(n % 5 == 2, "english-x").otherwise(F.col("lang"))),
-        ("creator", F.lit("someone")), ("date", F.when(n % 3 == 0, "2024-13-45").when(n % 3 == 1, "2024-02-29").otherwise("2024-02-29T10:00:00Z")),
-        ("source", F.when(n % 4 == 2, None).otherwise(F.concat(F.lit("https://"), F.when(n % 6 == 0, "en.wikipedia.org").when(n % 6 == 1, "askubuntu.stackexchange.com").otherwise("example.org")))), ("entries", F.col("n").cast("string")),
+        ("title", F.when(n % 7 == 3, "  ").when(n % 7 == 4, "\t\n").otherwise(F.concat(F.lit("Collection "), "source"))), ("language", F.when(n % 5 == 1, F.upper("lang")).when(n % 5 == 2, "english-x").when(n % 5 == 3, "").otherwise(F.col("lang"))),
+        ("creator", F.lit("someone")), ("date", pick("2024-13-45", "2024-02-29", "2024-02-29T10:00:00Z", "2023-02-29", "29.02.2024", "2024-02-29T10:00:00+01:00", "")),
+        ("source", F.when(n % 4 == 2, None).otherwise(F.concat(F.lit("https://"), pick(*_SOURCES)))), ("entries", F.col("n").cast("string")),
+        ("favicon_entry", pick("7", "4294967295", "4294967296", "x", "", "00000000000012")), ("main_entry", pick("index.html", " ")), ("license", F.when(n % 3 == 1, "").when(n % 3 == 2, "CC0")),
     ]
     rows = base.select(F.col("source").alias("archive"), F.explode(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs])).alias("p"))
     return rows.select("archive", "p.*").filter("value IS NOT NULL")
 
 
-_METADATA = """WITH b AS (SELECT source AS archive, substring(source, 4)::INTEGER AS k, min(lang) AS lang, count(*) AS n FROM documents GROUP BY 1, 2),
-m AS (SELECT archive, 'title' AS key, CASE WHEN k % 7 = 3 THEN '  ' ELSE 'Collection ' || archive END AS value FROM b
-  UNION ALL SELECT archive, 'language', CASE WHEN k % 5 = 1 THEN upper(lang) WHEN k % 5 = 2 THEN 'english-x' ELSE lang END FROM b
+_PICK = lambda *values: f"list_extract([{', '.join(chr(39) + v + chr(39) for v in values)}], k % {len(values)} + 1)"
+_METADATA = f"""WITH b AS (SELECT source AS archive, substring(source, 4)::INTEGER AS k, min(lang) AS lang, count(*) AS n FROM documents GROUP BY 1, 2),
+m AS (SELECT * FROM (SELECT archive, 'title' AS key, CASE WHEN k % 7 = 3 THEN '  ' WHEN k % 7 = 4 THEN chr(9) || chr(10) ELSE 'Collection ' || archive END AS value FROM b
+  UNION ALL SELECT archive, 'language', CASE WHEN k % 5 = 1 THEN upper(lang) WHEN k % 5 = 2 THEN 'english-x' WHEN k % 5 = 3 THEN '' ELSE lang END FROM b
   UNION ALL SELECT archive, 'creator', 'someone' FROM b
-  UNION ALL SELECT archive, 'date', CASE k % 3 WHEN 0 THEN '2024-13-45' WHEN 1 THEN '2024-02-29' ELSE '2024-02-29T10:00:00Z' END FROM b
-  UNION ALL SELECT archive, 'source', 'https://' || CASE k % 6 WHEN 0 THEN 'en.wikipedia.org' WHEN 1 THEN 'askubuntu.stackexchange.com' ELSE 'example.org' END FROM b WHERE k % 4 <> 2
-  UNION ALL SELECT archive, 'entries', n::VARCHAR FROM b) """
+  UNION ALL SELECT archive, 'date', {_PICK("2024-13-45", "2024-02-29", "2024-02-29T10:00:00Z", "2023-02-29", "29.02.2024", "2024-02-29T10:00:00+01:00", "")} FROM b
+  UNION ALL SELECT archive, 'source', 'https://' || {_PICK(*_SOURCES)} FROM b WHERE k % 4 <> 2
+  UNION ALL SELECT archive, 'favicon_entry', {_PICK("7", "4294967295", "4294967296", "x", "", "00000000000012")} FROM b
+  UNION ALL SELECT archive, 'main_entry', {_PICK("index.html", " ")} FROM b
+  UNION ALL SELECT archive, 'license', CASE k % 3 WHEN 1 THEN '' WHEN 2 THEN 'CC0' END FROM b
+  UNION ALL SELECT archive, 'entries', n::VARCHAR FROM b) WHERE value IS NOT NULL) """
 
 
 @query(_METADATA + """, a AS (SELECT key, value FROM m WHERE archive = 'src0'), c AS (SELECT key, value FROM m WHERE archive = 'src1')
@@ -228,38 +273,89 @@ def metadata_compare(spark: SparkSession, sf: str) -> DataFrame:
     return stats.compare_metadata(m.filter("archive = 'src0'"), m.filter("archive = 'src1'"))
 
 
-@query(_METADATA + """SELECT archive, key, message FROM (
-  SELECT archive, key, 'must not be empty' AS message FROM m WHERE key IN ('title', 'creator', 'source') AND trim(value) = ''
-  UNION ALL SELECT archive, key, 'not an ISO 8601 date' FROM m WHERE key = 'date' AND value = '2024-13-45'
-  UNION ALL SELECT archive, key, 'primary subtag must have 2 or 3 letters' FROM m WHERE key = 'language' AND length(split_part(value, '-', 1)) NOT BETWEEN 2 AND 3
-  UNION ALL SELECT archive, key, 'primary subtag must be lower case' FROM m WHERE key = 'language' AND length(split_part(value, '-', 1)) BETWEEN 2 AND 3 AND NOT regexp_full_match(split_part(value, '-', 1), '[a-z]+')
-  UNION ALL SELECT archive, 'source', 'required key missing' FROM b WHERE k % 4 = 2)""")
+@query(_METADATA + """, l AS (SELECT archive, key, value, regexp_full_match(value, '\\s*') AS blank, split_part(value, '-', 1) AS tag FROM m)
+SELECT archive, key, message FROM (
+  SELECT archive, key, 'a blank value' AS message FROM l WHERE key IN ('title', 'creator', 'source', 'license', 'main_entry') AND blank
+  UNION ALL SELECT archive, key, 'neither a day nor a time with its zone' FROM l WHERE key = 'date' AND value <> '' AND NOT (regexp_full_match(value, '\\d{4}-\\d\\d-\\d\\d(T\\d\\d:\\d\\d:\\d\\d(\\.\\d+)?(Z|[+-]\\d\\d:\\d\\d))?') AND try_cast(substring(value, 1, 10) AS DATE) IS NOT NULL)
+  UNION ALL SELECT archive, key, 'a language code has two or three letters' FROM l WHERE key = 'language' AND value <> '' AND length(tag) NOT BETWEEN 2 AND 3
+  UNION ALL SELECT archive, key, 'a language code has small letters' FROM l WHERE key = 'language' AND length(tag) BETWEEN 2 AND 3 AND NOT regexp_full_match(tag, '[a-z]+')
+  UNION ALL SELECT archive, key, 'no entry''s number' FROM l WHERE key = 'favicon_entry' AND NOT (regexp_full_match(value, '[0-9]+') AND coalesce(try_cast(value AS HUGEINT) < 4294967296, false))
+  UNION ALL SELECT archive, key, 'required but not there' FROM (SELECT archive, unnest(['title', 'language', 'creator', 'date', 'source']) AS key FROM b) r WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.archive = r.archive AND m.key = r.key))""")
 def validate_metadata(spark: SparkSession, sf: str) -> DataFrame:
     return checks.validate_metadata(_metadata(spark, sf))
 
 
-@query(_METADATA + "SELECT archive, CASE WHEN value LIKE '%wikipedia%' THEN 'wikipedia' WHEN value LIKE '%stackexchange%' THEN 'stackexchange' ELSE '' END AS hint FROM m WHERE key = 'source'")
+_HINT = """CASE WHEN low LIKE '%wiktionary%' THEN 'wiktionary' WHEN low LIKE '%wikiquote%' THEN 'wikiquote' WHEN low LIKE '%gutenberg%' THEN 'gutenberg' WHEN low LIKE '%wikisource%' THEN 'wikisource'
+  WHEN low LIKE '%stackexchange%' OR low LIKE '%stack\\_exchange%' ESCAPE '\\' OR low LIKE '%stackoverflow%' THEN 'stackexchange' WHEN low LIKE '%devdocs%' OR low LIKE '%mankier%' OR low LIKE '%openwrt%' THEN 'devdocs'
+  WHEN low LIKE '%zimit%' THEN 'zimit' WHEN low LIKE '%ted.com%' THEN 'ted' WHEN low LIKE '%vikidia%' THEN 'vikidia' WHEN low LIKE '%wikipedia%' THEN 'wikipedia' ELSE '' END"""
+
+
+@query(_METADATA + f"SELECT archive, {_HINT} AS hint FROM (SELECT archive, lower(value) AS low FROM m WHERE key = 'source')")
 def source_hint(spark: SparkSession, sf: str) -> DataFrame:
     return _metadata(spark, sf).filter("key = 'source'").select("archive", stats.source_hint("value").alias("hint"))
 
 
-@query(_R + """, c AS (SELECT archive, mime_type, count(*) AS n, sum(size) AS size FROM entries GROUP BY 1, 2),
-f AS (SELECT archive, sum(n) AS n, sum(size) AS total, sum(size) FILTER (mime_type LIKE 'text/%') AS text, sum(size) FILTER (mime_type = 'text/html') AS html, sum(CASE WHEN size / n < 4096 THEN n ELSE 0 END) AS small FROM c GROUP BY 1),
-r AS (SELECT f.*, coalesce(d.r, 0) AS red FROM f LEFT JOIN (SELECT archive, count(*) AS r FROM redirects GROUP BY 1) d USING (archive)),
-x AS (SELECT archive, coalesce(text, 0) / total::DOUBLE AS t, coalesce(html, 0) / total::DOUBLE AS h, red / (red + n)::DOUBLE AS rd, total / n::DOUBLE AS av, small / n::DOUBLE AS sm FROM r)
-SELECT archive, round(rd, 6) AS redirect_density, CASE WHEN rd > 0.35 AND sm > 0.5 AND t > 0.7 THEN 'dictionary' WHEN av > 50000 AND rd < 0.15 AND t > 0.5 THEN 'books' WHEN t > 0.8 AND av < 50000 AND rd < 0.05 THEN 'docs' WHEN h > 0.3 AND rd > 0.05 THEN 'encyclopedia' ELSE 'mixed-scrape' END AS profile,
-round(CASE WHEN rd > 0.35 AND sm > 0.5 AND t > 0.7 THEN least(1, 0.5 + rd / 2 + sm / 4) WHEN av > 50000 AND rd < 0.15 AND t > 0.5 THEN least(1, 0.6 + least(av / 200000, 0.3)) WHEN t > 0.8 AND av < 50000 AND rd < 0.05 THEN least(1, 0.6 + t / 4) WHEN h > 0.3 AND rd > 0.05 THEN least(1, 0.6 + h / 4) ELSE 0.5 END, 6) AS confidence FROM x""")
+#: Every archive gets other MIME types and sizes by its number, so that all the classifier's rules are met.
+_TYPES = (("text/html", 1), ("image/png", 3), ("application/pdf", 2), ("video/mp4", 2), ("text/plain", 60), ("text/html", 1))
+
+
+def _typed(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.coalesce(F.substring("archive", 4, 9).try_cast("int"), F.lit(0))
+    kind = F.try_element_at(F.array(*[F.lit(m) for m, _ in _TYPES]), ((F.col("entry_id") / 4).cast("long") % (n % 5 + 1) + n % 3 % len(_TYPES) + 1).cast("int"))
+    grown = F.col("size") * F.element_at(F.array(*[F.lit(g) for _, g in _TYPES]), (n % len(_TYPES) + 1).cast("int"))
+    return entries(spark, sf).select("archive", F.when(F.col("mime_type") == "text/plain", F.coalesce(kind, F.lit("text/plain"))).otherwise(F.col("mime_type")).alias("mime_type"), grown.cast("long").alias("size"))
+
+
+_TYPED = f"""SELECT archive, CASE WHEN mime_type = 'text/plain' THEN coalesce(list_extract([{", ".join(f"'{m}'" for m, _ in _TYPES)}], (entry_id // 4) % (k % 5 + 1) + k % 3 % 6 + 1), 'text/plain') ELSE mime_type END AS mime_type,
+  size * list_extract([{", ".join(str(g) for _, g in _TYPES)}], k % 6 + 1) AS size FROM (SELECT *, coalesce(try_cast(substring(archive, 4) AS INTEGER), 0) AS k FROM entries)"""
+_MEDIA = "(im + vi)"
+_RULES = (
+    ("pd > 0.30", "pdf-container", "0.6 + pd"), (f"{_MEDIA} > 0.60", "media-heavy", f"0.5 + {_MEDIA} / 2"), ("rd > 0.35 AND sm > 0.5 AND tx > 0.7", "dictionary", "0.5 + rd / 2 + sm / 4"), ("hint = 'stackexchange'", "qa-forum", "0.9"),
+    ("av > 50000 AND rd < 0.15 AND tx > 0.5", "books", "0.6 + least(av / 200000, 0.3)"), ("tx > 0.8 AND im < 0.1 AND av < 50000 AND (hint = 'devdocs' OR rd < 0.05)", "docs", "0.6 + tx / 4"),
+    ("tx > 0.5 AND im > 0.1 AND im < 0.5 AND types > 5 AND rd < 0.1", "qa-forum", "0.65"), ("ht > 0.3 AND rd > 0.05", "encyclopedia", "0.6 + ht / 4"),
+)
+_BLIND = (
+    ("hint = 'wiktionary'", "dictionary", 0.6), ("hint = 'wikiquote'", "dictionary", 0.55), ("hint IN ('gutenberg', 'wikisource')", "books", 0.5), ("hint = 'stackexchange'", "qa-forum", 0.55), ("hint = 'devdocs'", "docs", 0.55),
+    ("hint = 'ted'", "media-heavy", 0.5), ("hint = 'zimit'", "mixed-scrape", 0.5), ("hint IN ('wikipedia', 'vikidia')", "encyclopedia", 0.55), ("rd > 0.35", "dictionary", 0.45),
+)
+
+
+def _cases(rules, k: int, other) -> str:
+    return "CASE " + " ".join(f"WHEN {r[0]} THEN {r[k] if k == 2 else chr(39) + r[k] + chr(39)}" for r in rules) + f" ELSE {other} END"
+
+
+_CLASSIFIED = (
+    _METADATA.rstrip() + f", {ENTRIES_SQL}, {REDIRECTS_SQL}" + f""", y AS ({_TYPED}), c AS (SELECT archive, mime_type, count(*) AS n, sum(size) AS size FROM y GROUP BY 1, 2),
+    f AS (SELECT archive, sum(n) AS n, count(*) AS types, sum(size)::DOUBLE AS total, sum(CASE WHEN mime_type LIKE 'text/%' THEN size ELSE 0 END) AS a, sum(CASE WHEN mime_type = 'text/html' THEN size ELSE 0 END) AS b,
+      sum(CASE WHEN mime_type LIKE 'image/%' THEN size ELSE 0 END) AS c, sum(CASE WHEN mime_type = 'application/pdf' THEN size ELSE 0 END) AS d, sum(CASE WHEN mime_type LIKE 'video/%' THEN size ELSE 0 END) AS e, sum(CASE WHEN size / n < 4096 THEN n ELSE 0 END) AS small FROM c GROUP BY 1),
+    r AS (SELECT f.*, coalesce(x.r, 0) AS red, coalesce(h.hint, '') AS hint FROM f LEFT JOIN (SELECT archive, count(*) AS r FROM redirects GROUP BY 1) x USING (archive) LEFT JOIN (SELECT archive, {_HINT} AS hint FROM (SELECT archive, lower(value) AS low FROM m WHERE key = 'source')) h USING (archive)),
+    w AS (SELECT archive, hint, types, a / total AS tx, b / total AS ht, c / total AS im, d / total AS pd, e / total AS vi, red / (red + n)::DOUBLE AS rd, total / n AS av, small / n::DOUBLE AS sm FROM r) """
+)
+
+
+@query(_CLASSIFIED + f"SELECT archive, round(rd, 6) AS redirect_density, {_cases(_RULES, 1, chr(39) + 'mixed-scrape' + chr(39))} AS profile, round(greatest(0, least(1, {_cases(_RULES, 2, 0.5)})), 6) AS confidence FROM w")
 def classify_profile(spark: SparkSession, sf: str) -> DataFrame:
-    rows = stats.features(entries(spark, sf), redirects(spark, sf)).withColumn("hint", F.lit(""))
-    return stats.classify(rows).select("archive", F.round("redirect_density", 6).alias("redirect_density"), "profile", "confidence")
+    return stats.classify(_features(spark, sf)).select("archive", F.round("redirect_density", 6).alias("redirect_density"), "profile", "confidence")
+
+
+@query(_CLASSIFIED + f"SELECT archive, {_cases(_BLIND, 1, chr(39) + 'mixed-scrape' + chr(39))} AS profile, round({_cases(_BLIND, 2, 0.4)}, 6)::DOUBLE AS confidence FROM w")
+def classify_without_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """The rules for archives whose sizes aren't known."""
+    blind = _features(spark, sf).withColumns({f"{c}_ratio": F.lit(-1.0) for c in ("text", "html", "image", "pdf", "video")})
+    return stats.classify(blind).select("archive", "profile", "confidence")
+
+
+def _features(spark: SparkSession, sf: str) -> DataFrame:
+    hints = _metadata(spark, sf).filter("key = 'source'").select("archive", stats.source_hint("value").alias("hint"))
+    return stats.features(_typed(spark, sf), redirects(spark, sf)).join(hints, "archive", "left").fillna("", ["hint"])
 
 
 # Deduplication, integrity and versions
 
 
-@query(_E + "SELECT entry_id, min(entry_id) OVER (PARTITION BY sha256(content)) AS blob_owner FROM entries")
+@query(_E + "SELECT archive, entry_id, min(entry_id) OVER (PARTITION BY archive, sha256(content)) AS blob_owner FROM entries")
 def dedup_first_occurrence(spark: SparkSession, sf: str) -> DataFrame:
-    return ingest.first_occurrences(entries(spark, sf)).select("entry_id", "blob_owner")
+    return ingest.first_occurrences(entries(spark, sf)).select("archive", "entry_id", "blob_owner")
 
 
 @query(_E + ", d AS (SELECT mime_type, sha256(content) AS h, count(*) AS n, max(size) AS size FROM entries GROUP BY 1, 2) SELECT mime_type, sum(n)::BIGINT AS entries, count(*) AS contents, sum((n - 1) * size)::BIGINT AS saved_bytes FROM d GROUP BY 1")
@@ -267,11 +363,11 @@ def dedup_stats(spark: SparkSession, sf: str) -> DataFrame:
     return stats.dedup_stats(entries(spark, sf))
 
 
-@query(_E + "SELECT CASE WHEN entry_id % 10 = 0 THEN false ELSE true END AS ok, 'entry' AS tier, count(*) AS n FROM entries GROUP BY 1, 2")
+@query(_E + "SELECT 'entry' AS tier, sha256(content) = sha256(CASE WHEN entry_id % 10 = 0 THEN content || 'x' ELSE content END) AS ok, count(*) AS n FROM entries GROUP BY 1, 2")
 def verify_entries(spark: SparkSession, sf: str) -> DataFrame:
     """Every tenth recorded digest is that of other content."""
     e = entries(spark, sf)
-    recorded = e.select("entry_id", F.sha2(F.when(F.col("entry_id") % 10 == 0, F.concat("content", F.lit("x"))).otherwise(F.col("content")), 256).alias("digest"))
+    recorded = e.select("archive", "entry_id", F.sha2(F.when(F.col("entry_id") % 10 == 0, F.concat("content", F.lit("x"))).otherwise(F.col("content")), 256).alias("digest"))
     return checks.verify_summary(checks.verify_entries(e, recorded).withColumn("tier", F.lit("entry")))
 
 
@@ -300,7 +396,7 @@ def _hits(words: str, verify: bool = False) -> str:
     h AS (SELECT archive, entry_id, {_has('title', words, verify)} AS title_match, ({_has('head', words, verify)}) OR ({_has('body', words, verify)}) AS body_match FROM v) """
 
 
-@query(_hits("that") + "SELECT archive, entry_id, title_match, body_match FROM h WHERE title_match OR body_match ORDER BY title_match DESC, entry_id LIMIT 20")
+@query(_hits("that") + "SELECT archive, entry_id, title_match, body_match FROM h WHERE title_match OR body_match ORDER BY title_match DESC, archive, entry_id LIMIT 20")
 def search_two_tier(spark: SparkSession, sf: str) -> DataFrame:
     return search.search(entries(spark, sf), "that")
 
@@ -315,7 +411,7 @@ def search_verified(spark: SparkSession, sf: str) -> DataFrame:
     return search.scan(entries(spark, sf), "The Of", verify=True)
 
 
-@query(_E + f"SELECT archive, entry_id, true AS title_match, false AS body_match FROM entries WHERE is_front AND {_has('title', 'than')} ORDER BY entry_id LIMIT 20")
+@query(_E + f"SELECT archive, entry_id, true AS title_match, false AS body_match FROM entries WHERE is_front AND {_has('title', 'than')} ORDER BY archive, entry_id LIMIT 20")
 def search_title(spark: SparkSession, sf: str) -> DataFrame:
     return search.search(entries(spark, sf), "than", titles_only=True)
 
@@ -325,31 +421,69 @@ def search_federated(spark: SparkSession, sf: str) -> DataFrame:
     return search.federated(entries(spark, sf), "en la", 40, per_archive=3)
 
 
-@query()
+def _stored(spark: SparkSession, rows: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    path = scratch(spark, "search")
+    search.write_index(rows, path, **options)
+    return search.read_index(spark, path)
+
+
+@query(_hits("the of") + "SELECT archive, entry_id, title_match, body_match FROM h WHERE title_match OR body_match")
 def search_index(spark: SparkSession, sf: str) -> DataFrame:
-    """Through postings, not by scanning; the tests hold it against search_all_hits."""
-    posts = search.postings(search.sources(entries(spark, sf)))
-    return search.lookup(posts, "the of")
+    """All hits through stored postings."""
+    posts, pruned = _stored(spark, entries(spark, sf))
+    return search.search_index(posts, "the of", None, pruned=pruned)
+
+
+@query(_hits("that") + "SELECT archive, entry_id, title_match, body_match FROM h WHERE title_match OR body_match ORDER BY title_match DESC, archive, entry_id LIMIT 20")
+def search_index_page(spark: SparkSession, sf: str) -> DataFrame:
+    """The first hits in rank order through stored postings."""
+    posts, pruned = _stored(spark, entries(spark, sf))
+    return search.search_index(posts, "that", pruned=pruned)
+
 
+def _with_cjk(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that end in a few CJK characters, by their number."""
+    n = F.floor(F.col("entry_id") / 4) % 6
+    tail = F.element_at(F.array(*[F.lit(t) for t in _TAILS]), (n + 1).cast("int"))
+    return entries(spark, sf).filter("mime_type = 'text/plain'").withColumn("content", F.concat("content", F.lit(" "), tail))
 
-_GRAMS = r""", g AS (SELECT DISTINCT entry_id, substring(h, 2 * i - 1, 6) AS gram FROM (SELECT entry_id, hex(encode({0})) AS h, unnest(range(1, strlen(title)::BIGINT - 1)) AS i FROM entries WHERE is_front AND strlen(title) >= 3)) """.format(_FOLD.format("title"))
 
+_TAILS = ("日本語", "本日", "日中本", "東京", "", "ニ日本")
+_WITH_CJK = _E + f""", v AS (SELECT archive, entry_id, content || ' ' || list_extract([{", ".join(f"'{t}'" for t in _TAILS)}], (entry_id // 4) % 6 + 1) AS body FROM entries WHERE mime_type = 'text/plain' AND is_front)
+SELECT archive, entry_id, false AS title_match, true AS body_match FROM v WHERE contains(body, '日本')"""
 
-@query(_E + _GRAMS + "SELECT ('0x' || gram)::INTEGER AS gram, count(*) AS df FROM g GROUP BY 1")
+
+@query(_WITH_CJK)
+def search_cjk(spark: SparkSession, sf: str) -> DataFrame:
+    posts, pruned = _stored(spark, _with_cjk(spark, sf))
+    return search.search_index(posts, "日本", None, pruned=pruned)
+
+
+@query(_WITH_CJK)
+def search_cjk_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return search.scan(_with_cjk(spark, sf), "日本")
+
+
+_TITLE_GRAMS = r""", g AS (SELECT DISTINCT archive, entry_id, substring(h, 2 * i - 1, 6) AS gram FROM (SELECT archive, entry_id, hex(encode({0})) AS h, unnest(range(1, strlen(title)::BIGINT - 1)) AS i FROM entries WHERE is_front AND strlen(title) >= 3)) """.format(_FOLD.format("title"))
+
+
+@query(_E + _TITLE_GRAMS + "SELECT ('0x' || gram)::INTEGER AS gram, count(*) AS df FROM g GROUP BY 1")
 def trigram_title_df(spark: SparkSession, sf: str) -> DataFrame:
-    titles = search.sources(entries(spark, sf).withColumn("content", F.lit(""))).filter("idx = 'title'")
-    return search.document_frequency(search.postings(titles)).select("gram", "df")
+    return search.frequencies(entries(spark, sf), ("title",)).select("gram", "df")
 
 
-@query(_E + _GRAMS + "SELECT ('0x' || gram)::INTEGER AS gram, count(*) AS df FROM g GROUP BY 1 HAVING count(*) >= 20 AND count(*) >= 0.3 * (SELECT count(DISTINCT entry_id) FROM g)")
+@query(_E + _TITLE_GRAMS + "SELECT archive, ('0x' || gram)::INTEGER AS gram, count(*) AS df FROM g GROUP BY 1, 2 HAVING count(*) >= 20 AND count(*) >= 0.3 * any_value((SELECT count(DISTINCT entry_id) FROM g d WHERE d.archive = g.archive))")
 def trigram_prune(spark: SparkSession, sf: str) -> DataFrame:
-    titles = search.sources(entries(spark, sf).withColumn("content", F.lit(""))).filter("idx = 'title'")
-    return search.pruned_grams(search.postings(titles), 0.3, 20).select("gram", "df")
+    return search.pruned_grams(search.postings(entries(spark, sf), ("title",)), 0.3, 20).select("archive", "gram", "df")
 
 
-@query()
+@query(_E + rf""", v AS (SELECT archive, entry_id, title || ' ' || path AS head,
+  CASE WHEN mime_type = 'text/html' THEN array_to_string(list_filter(string_split({_VISIBLE}, chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> ''), ' ') ELSE content END AS body FROM entries WHERE is_front),
+  t AS (SELECT archive, entry_id, unnest([head, body]) AS t FROM v), h AS (SELECT archive, entry_id, hex(encode({_FOLD.format('t')})) AS h FROM t WHERE strlen(t) >= 3),
+  g AS (SELECT archive, entry_id, unnest(list_distinct(list_transform(range(1, length(h)::BIGINT // 2 - 1), lambda i: substring(h, 2 * i - 1, 6)))) AS gram FROM h)
+SELECT 'body' AS idx, ('0x' || gram)::INTEGER AS gram, count(DISTINCT (archive, entry_id)) AS df FROM g GROUP BY 2""")
 def trigram_body_df(spark: SparkSession, sf: str) -> DataFrame:
-    return search.document_frequency(search.postings(search.sources(entries(spark, sf)).filter("idx = 'body'")))
+    return search.frequencies(entries(spark, sf), ("body",))
 
 
 _CJK = [("日", [0xE697A5]), ("日本", [0xE697A5, 0xE69CAC, 0xA5E69C]), ("abcd", [0x616263, 0x626364]), ("日abc本", [0xE697A5, 0x616263, 0xE69CAC]), ("ab", [])]
@@ -378,7 +512,7 @@ def strip_html(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", T.strip_html_udf("html").alias("text"))
 
 
-@query()
+@query(rf"SELECT page_id, array_to_string(list_filter(string_split({_VISIBLE}, chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> ''), ' ') AS text FROM (SELECT page_id, html AS content FROM pages)")
 def visible_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", T.visible_text_udf("html").alias("text"))
 
@@ -388,7 +522,7 @@ def markdown(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", T.markdown_udf("html").alias("text"))
 
 
-@query()
+@query(_E + r"SELECT entry_id, CASE WHEN mime_type = 'text/html' THEN strlen(trim(regexp_replace(regexp_replace(content, '<!--.*?-->', '', 'gs'), '\s+', ' ', 'g'))) ELSE size END AS size FROM entries")
 def transform_content(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.transform(entries(spark, sf)).select("entry_id", "size")
 
@@ -460,3 +594,50 @@ def language_mode(spark: SparkSession, sf: str) -> DataFrame:
 def unique_slugs(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").select("source", F.substring("source", 1, 4).alias("base")).distinct()
     return library.unique_slugs(rows, "base", "source").select("base", "source", "slug")
+
+
+# Archives: written to files, and read back
+
+
+def _archives(spark: SparkSession, sf: str, **options) -> str:
+    out = scratch(spark, "archives")
+    meta = table(spark, sf, "documents").select(F.col("source").alias("archive")).distinct().select("archive", F.lit("language").alias("key"), F.lit("en").alias("value"))
+    archive_source.write_archives(entries(spark, sf), out, metadata=meta, redirects=redirects(spark, sf), **options).collect()
+    return out
+
+
+@query(_E + "SELECT archive, path, title, mime_type, is_front, size, sha256(content) AS digest FROM entries")
+def archive_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    rows = archive_source.read_archives(spark, _archives(spark, sf, search=False), "content", suffix=".car")
+    return rows.select("archive", "path", "title", "mime_type", "is_front", "size", F.sha2("content", 256).alias("digest"))
+
+
+@query(_WALKED + """, a AS (SELECT archive, count(*) AS n FROM entries GROUP BY 1)
+SELECT 'file' AS tier, true AS ok, count(*) AS n FROM a UNION ALL SELECT 'entry', true, sum(n)::BIGINT FROM a UNION ALL SELECT 'section', true, 8 * count(*) + (SELECT count(DISTINCT archive) FROM redirects) FROM a""")
+def archive_verify(spark: SparkSession, sf: str) -> DataFrame:
+    return checks.verify_summary(archive_source.read_archives(spark, _archives(spark, sf), "verify", suffix=".car"))
+
+
+@query(_WALKED + "SELECT w.archive, w.path, e.size, sha256(e.content) AS digest FROM walk w JOIN entries e ON e.archive = w.archive AND e.entry_id = w.t")
+def archive_redirect_content(spark: SparkSession, sf: str) -> DataFrame:
+    """Content of the redirects' paths, from the files alone."""
+    out = _archives(spark, sf, search=False)
+    led = archive_source.read_archives(spark, out, "redirects", suffix=".car")
+    rows = catalog.resolved_content(archive_source.read_archives(spark, out, "content", suffix=".car"), led)
+    return rows.join(led.select("archive", "path"), ["archive", "path"], "left_semi").select("archive", "path", "size", F.sha2("content", 256).alias("digest"))
+
+
+@query(_hits("the of") + "SELECT archive, path, title_match, body_match FROM h JOIN entries USING (archive, entry_id) WHERE title_match OR body_match")
+def archive_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits through the indexes in the files."""
+    out = _archives(spark, sf)
+    read = lambda t: archive_source.read_archives(spark, out, t, suffix=".car")
+    hits = search.search_index(read("postings"), "the of", None, pruned=read("pruned"))
+    return hits.join(read("entries").select("archive", "entry_id", "path"), ["archive", "entry_id"]).select("archive", "path", "title_match", "body_match")
+
+
+@query(_E + "SELECT archive AS slug, count(*) AS entries, count_if(is_front)::BIGINT AS front_articles, sum(size)::BIGINT AS bytes, archive AS title, count_if(is_front) > 0 AS has_search FROM entries GROUP BY 1")
+def archive_list(spark: SparkSession, sf: str) -> DataFrame:
+    out = _archives(spark, sf)
+    read = lambda t: archive_source.read_archives(spark, out, t, suffix=".car")
+    return library.describe_archives(read("archives"), read("metadata")).select("slug", "entries", "front_articles", "bytes", "title", "has_search")

@@ -29,10 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests only)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local session gets one of its own; on a cluster it is an error, as a folder of one machine would lose data with it."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = getattr(spark, "_corvane_dir", None)
         if path is None:
             path = "file://" + tempfile.mkdtemp(prefix="corvane-")

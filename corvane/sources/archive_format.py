@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
 import struct
 from dataclasses import dataclass, field
+from functools import cached_property
 
 MAGIC, MAJOR = 0x01415A4F, 1
 METADATA, MIME, ENTRIES, PATHS, TITLES, CONTENT, REDIRECTS, CHROME, SIGNATURES, DICTIONARY, SEARCH_TITLE, SEARCH_BODY = 1, 2, 3, 4, 5, 6, 7, 9, 10, 11, 12, 13
@@ -36,6 +38,10 @@ class LimitExceeded(FormatError):
     pass
 
 
+class ChecksumMismatch(FormatError):
+    pass
+
+
 @dataclass(frozen=True)
 class Limits:
     section: int = 1 << 30
@@ -421,40 +427,92 @@ def content_hash(data: bytes) -> bytes:
     return xxhash.xxh64_intdigest(data).to_bytes(8, "little")
 
 
+class FileRanges:
+    """A file's bytes by slices: only what is asked for is read."""
+
+    def __init__(self, f):
+        self._f = f
+        f.seek(0, 2)
+        self._size = f.tell()
+
+    def __len__(self) -> int:
+        return self._size
+
+    def __getitem__(self, part: slice) -> bytes:
+        first, past, _ = part.indices(self._size)
+        self._f.seek(first)
+        return self._f.read(max(0, past - first))
+
+
 @dataclass
 class Archive:
-    """A parsed file. Content stays compressed until a blob is read."""
+    """A file, as bytes or FileRanges. Header, section table and metadata are read at once, each other section when it is first asked for, and chunks one by one."""
 
-    data: bytes
+    data: bytes | FileRanges
     limits: Limits = field(default_factory=Limits)
     strict: bool = True
 
     def __post_init__(self):
         d = self.data
-        self.header = parse_header(d)
+        self.header = parse_header(d[:128])
         h = self.header
         if h.table_offset + 80 * h.section_count > len(d) or h.checksum_offset + 32 > len(d):
             raise FormatError("the file is cut off")
-        self.sections = parse_sections(d[h.table_offset :], h.section_count)
-        self.dictionaries = {}
+        self.sections = parse_sections(d[h.table_offset : h.table_offset + 80 * h.section_count], h.section_count)
         for s in self.sections:
             if s.offset + s.compressed_size > h.checksum_offset:
                 raise FormatError("a section lies outside the file")
-            if s.kind == DICTIONARY:
-                raw = self.load(s)
-                self.dictionaries[int.from_bytes(raw[:4], "little")] = raw[4:]
-        one = lambda kind, empty=b"": self.load(s) if (s := self.section(kind)) else empty
-        self.metadata = parse_metadata(one(METADATA, bytes(4)), self.limits.value)
-        self.mime = parse_mime(one(MIME, bytes(2)))
-        self.entries = parse_entries(one(ENTRIES, struct.pack("<II", 0, 8)), self.strict)
-        self.redirects = parse_redirects(one(REDIRECTS, bytes(4)))
-        self.paths = {i: k for k, i in parse_index(one(PATHS))} if self.section(PATHS) else {}
-        self.titles = {i: k for k, i in parse_index(one(TITLES))} if self.section(TITLES) else {}
-        content = self.section(CONTENT)
-        self._content = d[content.offset : content.offset + content.compressed_size] if content else bytes(4)
-        self.chunks, self._base = parse_chunks(self._content)
+        self.metadata = parse_metadata(self._one(METADATA, bytes(4)), self.limits.value)
         self._open: dict[int, bytes] = {}
 
+    def _one(self, kind: int, empty: bytes) -> bytes:
+        return self.load(s) if (s := self.section(kind)) else empty
+
+    @cached_property
+    def dictionaries(self) -> dict[int, bytes]:
+        out = {}
+        for s in self.sections:
+            if s.kind == DICTIONARY:
+                raw = decompress(self.raw(s), s.compression, {}, 0, self.limits.section)
+                out[int.from_bytes(raw[:4], "little")] = raw[4:]
+        return out
+
+    @cached_property
+    def mime(self) -> list[str]:
+        return parse_mime(self._one(MIME, bytes(2)))
+
+    @cached_property
+    def entries(self) -> list[Record | None]:
+        return parse_entries(self._one(ENTRIES, struct.pack("<II", 0, 8)), self.strict)
+
+    @cached_property
+    def redirects(self) -> list[tuple[int, int]]:
+        return parse_redirects(self._one(REDIRECTS, bytes(4)))
+
+    @cached_property
+    def paths(self) -> dict[int, str]:
+        return {i: k for k, i in parse_index(self._one(PATHS, b""))} if self.section(PATHS) else {}
+
+    @cached_property
+    def titles(self) -> dict[int, str]:
+        return {i: k for k, i in parse_index(self._one(TITLES, b""))} if self.section(TITLES) else {}
+
+    @cached_property
+    def _chunks(self) -> tuple[list[Chunk], int]:
+        s = self.section(CONTENT)
+        if s is None:
+            return [], 4
+        count = int.from_bytes(self.data[s.offset : s.offset + 4], "little")
+        return parse_chunks(self.data[s.offset : s.offset + min(s.compressed_size, 4 + _CHUNK.size * count)])
+
+    @property
+    def chunks(self) -> list[Chunk]:
+        return self._chunks[0]
+
+    @cached_property
+    def _chunk_by_id(self) -> dict[int, Chunk]:
+        return {c.id: c for c in self.chunks}
+
     def section(self, kind: int) -> Section | None:
         return next((s for s in self.sections if s.kind == kind), None)
 
@@ -464,20 +522,37 @@ class Archive:
     def load(self, s: Section) -> bytes:
         if s.uncompressed_size > self.limits.section:
             raise LimitExceeded(NAMES.get(s.kind, str(s.kind)))
-        return decompress(self.raw(s), s.compression, self.dictionaries, s.dict_id, self.limits.section)
+        return decompress(self.raw(s), s.compression, self.dictionaries if s.compression == ZSTD_DICT else {}, s.dict_id, self.limits.section)
+
+    def packed_chunk(self, c: Chunk) -> bytes:
+        s = self.section(CONTENT)
+        first = self._chunks[1] + c.offset
+        if first + c.size > s.compressed_size:
+            raise FormatError("a chunk is cut off")
+        return self.data[s.offset + first : s.offset + first + c.size]
 
     def chunk(self, number: int) -> bytes:
         if number not in self._open:
-            c = next((c for c in self.chunks if c.id == number), None)
+            c = self._chunk_by_id.get(number)
             if c is None:
                 raise FormatError(f"no chunk {number}")
-            if self._base + c.offset + c.size > len(self._content):
-                raise FormatError("a chunk is cut off")
             if len(self._open) >= 8:
                 self._open.pop(next(iter(self._open)))
-            self._open[number] = decompress(self._content[self._base + c.offset : self._base + c.offset + c.size], c.compression, self.dictionaries, c.dict_id, self.limits.section)
+            self._open[number] = decompress(self.packed_chunk(c), c.compression, self.dictionaries if c.compression == ZSTD_DICT else {}, c.dict_id, self.limits.section)
         return self._open[number]
 
+    def chunk_size(self, c: Chunk) -> int:
+        """Bytes of a chunk's content, from its frame's header where that tells it."""
+        import zstandard
+
+        if c.compression == NONE:
+            return c.size
+        try:
+            size = zstandard.frame_content_size(self.packed_chunk(c)[:18])
+        except zstandard.ZstdError as e:
+            raise FormatError(f"damaged data: {e}") from e
+        return size if size >= 0 else len(self.chunk(c.id))
+
     def blob(self, r: Record) -> bytes:
         if r.size > self.limits.blob:
             raise LimitExceeded("blob")
@@ -486,13 +561,21 @@ class Archive:
             raise FormatError("a blob lies outside its chunk")
         return data[r.offset : r.offset + r.size]
 
-    def verify(self):
-        """tier, name, expected, computed of the file, each section and each entry."""
+    def digest(self, first: int, past: int) -> bytes:
+        """SHA-256 of a stretch of the file, a few MB at a time."""
+        h = hashlib.sha256()
+        for at in range(first, past, 4 << 20):
+            h.update(self.data[at : min(past, at + (4 << 20))])
+        return h.digest()
+
+    def verify(self, tiers: tuple[str, ...] = ("file", "section", "entry")):
+        """tier, name, expected, computed of the file, each section and each entry; only the tiers asked for are read."""
         end = self.header.checksum_offset
-        yield "file", "", self.data[end : end + 32], hashlib.sha256(self.data[:end]).digest()
-        for s in self.sections:
-            yield "section", NAMES.get(s.kind, str(s.kind)), s.sha256, hashlib.sha256(self.raw(s)).digest()
-        for i, r in enumerate(self.entries):
+        if "file" in tiers:
+            yield "file", "", self.data[end : end + 32], self.digest(0, end)
+        for s in self.sections if "section" in tiers else ():
+            yield "section", NAMES.get(s.kind, str(s.kind)), s.sha256, self.digest(s.offset, s.offset + s.compressed_size)
+        for i, r in enumerate(self.entries) if "entry" in tiers else ():
             if r is None:
                 yield "entry", str(i), b"", b"damaged"
             else:
@@ -501,11 +584,30 @@ class Archive:
                 except FormatError as e:
                     yield "entry", str(i), r.hash, str(e).encode()
 
+    def check(self) -> None:
+        """Raises if the file's or a section's digest is wrong."""
+        for tier, name, expected, computed in self.verify(("file", "section")):
+            if expected != computed:
+                raise ChecksumMismatch(f"{tier} {name}".strip())
+
+    def docs(self, kind: int) -> int | None:
+        """Entries that a search index covers; None without the index."""
+        s = self.section(kind)
+        return struct.unpack_from("<4I", self.load(s))[3] if s else None
+
+    def pruned(self) -> dict[str, list[int]]:
+        """Grams that the writer left out of its indexes, by index."""
+        raw = self.metadata.get(PRUNED_KEY)
+        if not raw:
+            return {}
+        found = json.loads(raw)
+        return {k: [int(g) for g in v] for k, v in found.items()}
+
     def signatures(self) -> list[tuple[bytes, bytes, int]]:
         """Public key, signature and key id of each record behind the checksum."""
         if not self.header.flags & HAS_SIGNATURES:
             return []
-        r = _Reader(self.data, self.header.checksum_offset + 32)
+        r = _Reader(self.data[self.header.checksum_offset + 32 : len(self.data)])
         out = []
         for _ in range(r.number(4)):
             out.append((r.take(32), r.take(64), r.number(4)))
@@ -513,78 +615,185 @@ class Archive:
         return out
 
 
-def build(metadata: dict[str, bytes], entries: list[tuple[str, str, str, bytes, bool]], redirects: list[tuple[str, str, int, bool]] = (), *, uuid: bytes | None = None, level: int = 6, chunk_bytes: int = 4 << 20, search: bool = True, prune: float = 0.5, dictionaries: dict[str, tuple[int, bytes]] | None = None, secret: bytes | None = None) -> bytes:
-    """A whole archive. entries: path, title, MIME type, content, front; in id order. redirects: path, title, target, front. dictionaries: id and bytes by chunk key."""
-    import os
+#: Metadata key under which a writer records the grams it pruned, so a search can leave them out of its count.
+PRUNED_KEY = "search_pruned"
+
+
+def chunk_key(mime: str, size: int) -> str:
+    """The group content is packed with, as the column function of this name gives it."""
+    bare = mime.split(";")[0].strip(" ")
+    group = {"text/html": "html", "text/css": "css", "application/javascript": "js", "text/javascript": "js", "image/svg+xml": "svg"}.get(bare) or ("image" if bare.startswith("image/") else "other")
+    return group if group == "image" or size >= 4096 else f"{group}-small"
 
-    import zstandard
 
-    from corvane.functions import text as T
+class Builder:
+    """Builds an archive entry by entry. Finished chunks go to a temporary file; in memory stay the open chunks (one a key), and records, keys and postings, which are small beside content."""
 
-    known: dict[bytes, Record] = {}
-    mime, records, packed, open_ = list(FIXED_MIME), [], [], {}
+    def __init__(self, metadata: dict[str, bytes] = {}, *, uuid: bytes | None = None, level: int = 6, chunk_bytes: int = 4 << 20, search: bool = True, prune: float = 0.5, prune_least: int = 1000, dictionaries: dict[str, tuple[int, bytes]] | None = None, secrets: list[bytes] | tuple = ()):  # noqa: B006
+        import os
+        import tempfile
 
-    def close(key: str):
-        number, parts = open_.pop(key)
+        self.metadata, self.uuid, self.level, self.chunk_bytes, self.search, self.prune, self.prune_least = dict(metadata), uuid or os.urandom(16), level, chunk_bytes, search, prune, prune_least
+        self.dictionaries, self.secrets = dictionaries or {}, list(secrets)
+        self._known: dict[bytes, Record] = {}
+        self._mime, self._number = list(FIXED_MIME), {m: i for i, m in enumerate(FIXED_MIME)}
+        self._records: list[Record] = []
+        self._paths: list[tuple[str, int]] = []
+        self._titles: list[tuple[str, int]] = []
+        self._redirects: list[tuple[int, int]] = []
+        self._open: dict[str, list] = {}  # number, parts, bytes
+        self._chunks: dict[int, tuple[int, int, int, int]] = {}  # place in the spool, size, dictionary, compression
+        self._spool = tempfile.TemporaryFile()
+        self._count = self._content_bytes = self._front = self._docs = 0
+        self._grams: dict[str, dict[int, list[int]]] = {"title": {}, "body": {}}
+        self._cjk = {"title": False, "body": False}
+
+    def _close(self, key: str) -> None:
+        import zstandard
+
+        number, parts, _ = self._open.pop(key)
         data = b"".join(parts)
-        d = (dictionaries or {}).get(key)
-        small = data if key == "image" else compress(data, level, zstandard.ZstdCompressionDict(d[1]) if d else None)
-        packed.append((number, small, d[0] if d and key != "image" else 0, NONE if key == "image" else ZSTD_DICT if d else ZSTD))
-
-    count = 0
-    for path, title, kind, content, is_front in entries:
-        if kind not in mime:
-            mime.append(kind)
+        d = self.dictionaries.get(key)
+        small = data if key == "image" else compress(data, self.level, zstandard.ZstdCompressionDict(d[1]) if d else None)
+        if key == "image" and len(packed := compress(data, 1)) < len(data):
+            small, codec = packed, ZSTD
+        else:
+            codec = NONE if key == "image" else ZSTD_DICT if d else ZSTD
+        self._spool.seek(0, 2)
+        self._chunks[number] = (self._spool.tell(), len(small), d[0] if d and codec == ZSTD_DICT else 0, codec)
+        self._spool.write(small)
+
+    def add(self, path: str, title: str, kind: str, content: bytes, front: bool) -> int:
+        """Adds an entry and returns its id."""
+        entry = len(self._records)
+        if kind not in self._number:
+            self._number[kind] = len(self._mime)
+            self._mime.append(kind)
         digest = hashlib.sha256(content).digest()  # 64 bits would trust chance
-        same = known.get(digest)
+        same = self._known.get(digest)
         if same is None:
-            group = "image" if kind.startswith("image/") and "svg" not in kind else kind.split(";")[0].strip()
-            key = group if group == "image" or len(content) >= 4096 else f"{group}-small"
-            if key not in open_:
-                open_[key] = (count, [])
-                count += 1
-            number, parts = open_[key]
-            same = known[digest] = Record(0, False, 0, number, sum(map(len, parts)), len(content), content_hash(content))
-            parts.append(content)
-            if sum(map(len, parts)) >= chunk_bytes:
-                close(key)
-        records.append(Record(0, is_front, mime.index(kind), same.chunk, same.offset, same.size, same.hash))
-    for key in list(open_):
-        close(key)
-    packed.sort()
-    paths = [(e[0], i) for i, e in enumerate(entries)] + [(r[0], i | REDIRECT_BIT) for i, r in enumerate(redirects)]
-    titles = [(e[1], i) for i, e in enumerate(entries)] + [(r[1], i | REDIRECT_BIT) for i, r in enumerate(redirects)]
-    made = [(METADATA, pack_metadata(metadata)), (MIME, pack_mime(mime)), (ENTRIES, pack_entries(records)), (PATHS, pack_index(paths)), (TITLES, pack_index(titles)), (CONTENT, pack_chunks(packed))]
-    if redirects:
-        made.append((REDIRECTS, pack_redirects([(int(r[3]), r[2]) for r in redirects])))
-    made += [(DICTIONARY, i.to_bytes(4, "little") + d) for i, d in (dictionaries or {}).values()]
-    if search:
-        for section, texts in ((SEARCH_TITLE, lambda e: [e[1]]), (SEARCH_BODY, lambda e: [f"{e[1]} {e[0]}", T.visible_text(e[3].decode("utf-8", "replace")) if "html" in e[2] else e[3].decode("utf-8", "replace")])):
-            grams: dict[int, list[int]] = {}
-            docs = 0
-            for i, e in enumerate(entries):
-                if e[4]:
-                    docs += 1
-                    for g in {int(g) for t in texts(e) for g in T.grams(t)}:
-                        grams.setdefault(g, []).append(i)
-            kept = {g: ids for g, ids in grams.items() if len(ids) < 1000 or len(ids) < prune * docs}
-            made.append((section, pack_postings(kept, docs, any(T.is_cjk(c) for e in entries if e[4] for t in texts(e) for c in t))))
-    at, table, bodies = 128 + 80 * len(made), [], []
-    for kind, raw in made:
-        body, codec = raw, NONE
-        if kind not in (CONTENT, DICTIONARY) and len(raw) >= 256 and len(small := compress(raw, 19)) < len(raw):
-            body, codec = small, ZSTD
-        table.append(Section(kind, 0, at, len(body), len(raw), codec, 0, hashlib.sha256(body).digest()))
-        bodies.append(body)
-        at += len(body)
-    flags = (HAS_SEARCH if search else 0) | (HAS_SIGNATURES if secret else 0)
-    front = sum(e[4] for e in entries) + sum(r[3] for r in redirects)
-    header = Header(uuid or os.urandom(16), len(made), len(entries), sum(len(e[3]) for e in entries), 128, at, flags, len(redirects), front)
-    whole = header.pack() + b"".join(s.pack() for s in table) + b"".join(bodies)
-    digest = hashlib.sha256(whole).digest()
-    tail = b""
-    if secret:
-        from corvane.functions.ed25519 import public_key, sign
-
-        tail = (1).to_bytes(4, "little") + public_key(secret) + sign(secret, digest) + (1).to_bytes(4, "little") + bytes(28)
-    return whole + digest + tail
+            key = chunk_key(kind, len(content))
+            if key not in self._open:
+                self._open[key] = [self._count, [], 0]
+                self._count += 1
+            open_ = self._open[key]
+            same = self._known[digest] = Record(0, False, 0, open_[0], open_[2], len(content), content_hash(content))
+            open_[1].append(content)
+            open_[2] += len(content)
+            if open_[2] >= self.chunk_bytes:
+                self._close(key)
+        self._records.append(Record(0, front, self._number[kind], same.chunk, same.offset, same.size, same.hash))
+        self._paths.append((path, entry))
+        self._titles.append((title, entry))
+        self._content_bytes += len(content)
+        self._front += front
+        if front and self.search:
+            self._index(entry, path, title, kind, content)
+        return entry
+
+    def _index(self, entry: int, path: str, title: str, kind: str, content: bytes) -> None:
+        from corvane.functions import text as T
+
+        self._docs += 1
+        body = content.decode("utf-8", "replace")
+        for idx, texts in (("title", [title]), ("body", [f"{title} {path}", T.visible_text(body) if "html" in kind else body])):
+            lists = self._grams[idx]
+            for g in {int(g) for t in texts for g in T.grams(t)}:
+                lists.setdefault(g, []).append(entry)
+            self._cjk[idx] |= any(T.has_cjk(t) for t in texts)
+
+    def redirect(self, path: str, title: str, target: int, front: bool = False) -> int:
+        """Adds a redirect to an entry's id, or to another redirect's, and returns its own."""
+        number = len(self._redirects) | REDIRECT_BIT
+        self._redirects.append((int(front), target))
+        self._paths.append((path, number))
+        self._titles.append((title, number))
+        self._front += front
+        return number
+
+    def write(self, out) -> int:
+        """Writes the archive to a file open for writing and returns its size."""
+        for key in list(self._open):
+            self._close(key)
+        made: list[tuple[int, bytes | None]] = [(MIME, pack_mime(self._mime)), (ENTRIES, pack_entries(self._records)), (PATHS, pack_index(self._paths)), (TITLES, pack_index(self._titles)), (CONTENT, None)]
+        if self._redirects:
+            made.append((REDIRECTS, pack_redirects(self._redirects)))
+        made += [(DICTIONARY, i.to_bytes(4, "little") + d) for i, d in self.dictionaries.values()]
+        if self.search:
+            pruned = {}
+            for kind, idx in ((SEARCH_TITLE, "title"), (SEARCH_BODY, "body")):
+                lists = self._grams[idx]
+                gone = [g for g, ids in lists.items() if len(ids) >= self.prune_least and len(ids) >= self.prune * self._docs]
+                for g in gone:
+                    del lists[g]
+                if gone:
+                    pruned[idx] = sorted(gone)
+                made.append((kind, pack_postings(lists, self._docs, self._cjk[idx])))
+            if pruned:
+                self.metadata[PRUNED_KEY] = json.dumps(pruned).encode()
+        made.insert(0, (METADATA, pack_metadata(self.metadata)))
+        order = sorted(self._chunks.items())
+        at, rows = 0, [len(order).to_bytes(4, "little")]
+        for number, (_, size, dictionary, codec) in order:
+            rows.append(_CHUNK.pack(number, at, size, dictionary, codec))
+            at += size
+        chunk_table, content_bytes = b"".join(rows), at
+
+        def content():
+            yield chunk_table
+            for _, (place, size, *_) in order:
+                self._spool.seek(place)
+                yield self._spool.read(size)
+
+        at, table, bodies = 128 + 80 * len(made), [], []
+        for kind, raw in made:
+            codec = NONE
+            if raw is None:
+                h = hashlib.sha256()
+                for part in content():
+                    h.update(part)
+                body, size, whole, sha = None, len(chunk_table) + content_bytes, len(chunk_table) + content_bytes, h.digest()
+            else:
+                body = raw
+                if kind != DICTIONARY and len(raw) >= 256 and len(small := compress(raw, 19)) < len(raw):
+                    body, codec = small, ZSTD
+                size, whole, sha = len(body), len(raw), hashlib.sha256(body).digest()
+            table.append(Section(kind, 0, at, size, whole, codec, 0, sha))
+            bodies.append(body)
+            at += size
+        flags = (HAS_SEARCH if self.search else 0) | (HAS_SIGNATURES if self.secrets else 0)
+        header = Header(self.uuid, len(made), len(self._records), self._content_bytes, 128, at, flags, len(self._redirects), self._front)
+        digest, size = hashlib.sha256(), 0
+
+        def put(data: bytes):
+            nonlocal size
+            digest.update(data)
+            size += len(data)
+            out.write(data)
+
+        put(header.pack() + b"".join(s.pack() for s in table))
+        for body in bodies:
+            for part in content() if body is None else (body,):
+                put(part)
+        tail = digest.digest()
+        if self.secrets:
+            from corvane.functions.ed25519 import public_key, sign
+
+            tail += len(self.secrets).to_bytes(4, "little")
+            for number, secret in enumerate(self.secrets, 1):
+                tail += public_key(secret) + sign(secret, digest.digest()) + number.to_bytes(4, "little") + bytes(28)
+        out.write(tail)
+        self._spool.close()
+        return size + len(tail)
+
+
+def build(metadata: dict[str, bytes], entries: list[tuple[str, str, str, bytes, bool]], redirects: list[tuple[str, str, int, bool]] = (), *, secret: bytes | None = None, **options) -> bytes:
+    """A whole archive in memory. entries: path, title, MIME type, content, front; in id order. redirects: path, title, target, front. Options as Builder's."""
+    made = Builder(metadata, secrets=[secret] if secret else options.pop("secrets", ()), **options)
+    for e in entries:
+        made.add(*e)
+    for r in redirects:
+        made.redirect(*r)
+    out = io.BytesIO()
+    made.write(out)
+    return out.getvalue()

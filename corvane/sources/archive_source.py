@@ -1,9 +1,11 @@
 """Spark data source ``content-archive`` over archive files, and the writer of one file an archive.
 
-Options: ``table`` (archives, metadata, mime, sections, entries, redirects, chunks, content, postings, verify, signatures), ``mode`` (FAILFAST or
-PERMISSIVE: damaged entry records are skipped), ``recursive``, ``suffix``, and the limits ``max_section``,
+Options: ``table`` (archives, metadata, mime, sections, entries, redirects, chunks, content, postings, pruned, verify, signatures), ``mode`` (FAILFAST or
+PERMISSIVE: damaged entry records are skipped), ``damaged`` (fail or skip: files and blobs that can't be read are left out, with a warning), ``verify`` (true: the file's and its sections'
+digests are checked before anything is read), ``tiers`` (of the table verify: file, section, entry), ``recursive``, ``suffix``, and the limits ``max_section``,
 ``max_blob`` and ``max_value``. The path may be a file, a folder or a pattern on a file system all executors see. The
-tables content and postings are read in several tasks a file, each for its own chunks or index; all others in one.
+tables content and postings are read in several tasks a file, each for its own chunks or index; all others in one. A task reads the parts of a file that its table
+needs. Filters on archive, entry_id, path and mime_type choose the files, entries and chunks that are read.
 """
 
 from __future__ import annotations
@@ -11,17 +13,18 @@ from __future__ import annotations
 import glob
 import os
 import re
+import warnings
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 from corvane.sources import archive_format as A
 
 SCHEMAS = {
-    "archives": "archive string, uuid string, major int, minor int, flags long, entry_count long, redirect_count long, front_count long, content_size long, file_size long, section_count int",
+    "archives": "archive string, uuid string, major int, minor int, flags long, entry_count long, redirect_count long, front_count long, content_size long, file_size long, section_count int, title_docs long, body_docs long",
     "metadata": "archive string, key string, value binary",
     "mime": "archive string, mime_index int, mime_type string",
     "sections": "archive string, idx int, type int, type_name string, offset long, compressed_size long, uncompressed_size long, compression int, dict_id long, sha256 string",
@@ -30,10 +33,12 @@ SCHEMAS = {
     "chunks": "archive string, chunk_id long, compression int, dict_id long, compressed_size long, size long",
     "content": "archive string, entry_id long, path string, title string, mime_type string, is_front boolean, size long, content binary",
     "postings": "archive string, idx string, gram int, entry_id long",
+    "pruned": "archive string, idx string, gram int",
     "verify": "archive string, tier string, name string, expected string, computed string, ok boolean",
     "signatures": "archive string, nth int, public_key string, key_id long, valid boolean",
 }
 SPLITS = {"content": 8, "postings": 2}
+INDEXES = ("title", "body")
 
 
 class _Part(InputPartition):
@@ -65,21 +70,49 @@ class _Reader(DataSourceReader):
         self._strict = options.get("mode", "FAILFAST").upper() != "PERMISSIVE"
         self._limits = A.Limits(int(options.get("max_section", A.Limits.section)), int(options.get("max_blob", A.Limits.blob)), int(options.get("max_value", A.Limits.value)))
         self._files = find(options["path"], options.get("suffix", ""), str(options.get("recursive", "false")).lower() == "true")
+        self._skip = options.get("damaged", "fail").lower() == "skip"
+        self._check = str(options.get("verify", "false")).lower() == "true"
+        self._tiers = tuple(x.strip() for x in options.get("tiers", "file,section,entry").split(","))
+        self._wanted: dict[str, set] = {}
+
+    def pushFilters(self, filters):
+        """Equality and IN on archive, entry_id, path and mime_type choose files, entries and so chunks to read; Spark still applies every filter."""
+        for f in filters:
+            values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+            if values is not None and len(f.attribute) == 1 and f.attribute[0] in ("archive", "entry_id", "path", "mime_type"):
+                name = f.attribute[0]
+                self._wanted[name] = self._wanted[name] & values if name in self._wanted else values
+            yield f
+
+    def _is_wanted(self, name: str, value) -> bool:
+        return name not in self._wanted or value in self._wanted[name]
 
     def partitions(self):
         n = SPLITS.get(self._table, 1)
-        return [_Part(f, k, n) for f in self._files for k in range(n)]
+        files = [f for f in self._files if self._is_wanted("archive", slug_of(f))]
+        if self._table == "content" and self._wanted.keys() & {"entry_id", "path"}:
+            n = 1  # a few blobs
+        return [_Part(f, k, n) for f in files for k in range(n)]
 
     def read(self, part) -> Iterator[tuple]:
-        with open(part.file, "rb") as f:
-            a = A.Archive(f.read(), self._limits, self._strict)
+        if part is None:  # no file is wanted
+            return
         name = slug_of(part.file)
-        for row in getattr(self, f"_{self._table}")(a, part):
-            yield (name, *row)
+        try:
+            with open(part.file, "rb") as f:
+                a = A.Archive(A.FileRanges(f), self._limits, self._strict)
+                if self._check:
+                    a.check()
+                rows = ((name, *row) for row in getattr(self, f"_{self._table}")(a, part))
+                yield from list(rows) if self._skip and self._table not in ("content", "postings") else rows
+        except (A.FormatError, OSError) as e:
+            if not self._skip:
+                raise
+            warnings.warn(f"{part.file} is left out: {e}", stacklevel=1)
 
     def _archives(self, a, part):
         h = a.header
-        yield a.header.uuid.hex(), h.major, h.minor, h.flags, h.entry_count, h.redirect_count, h.front_count, h.content_size, len(a.data), h.section_count
+        yield a.header.uuid.hex(), h.major, h.minor, h.flags, h.entry_count, h.redirect_count, h.front_count, h.content_size, len(a.data), h.section_count, a.docs(A.SEARCH_TITLE), a.docs(A.SEARCH_BODY)
 
     def _metadata(self, a, part):
         yield from a.metadata.items()
@@ -93,12 +126,14 @@ class _Reader(DataSourceReader):
 
     def _rows(self, a):
         for i, r in enumerate(a.entries):
-            if r is not None:
+            if r is not None and self._is_wanted("entry_id", i):
                 if r.mime >= len(a.mime):
                     if self._strict:
                         raise A.FormatError(f"entry {i} has MIME type {r.mime}")
                     continue
-                yield i, r, a.paths.get(i, ""), a.titles.get(i, ""), a.mime[r.mime]
+                path, mime = a.paths.get(i, ""), a.mime[r.mime]
+                if self._is_wanted("path", path) and self._is_wanted("mime_type", mime):
+                    yield i, r, path, a.titles.get(i, ""), mime
 
     def _entries(self, a, part):
         for i, r, path, title, mime in self._rows(a):
@@ -111,23 +146,34 @@ class _Reader(DataSourceReader):
 
     def _chunks(self, a, part):
         for c in a.chunks:
-            yield c.id, c.compression, c.dict_id, c.size, len(a.chunk(c.id))
+            yield c.id, c.compression, c.dict_id, c.size, a.chunk_size(c)
 
     def _content(self, a, part):
-        # by chunk, so each is decompressed once
+        # by chunk, so each is read and decompressed once
         for i, r, path, title, mime in sorted(self._rows(a), key=lambda x: x[1].chunk):
             if r.chunk % part.n == part.k:
-                yield i, path, title, mime, r.front, r.size, a.blob(r)
+                try:
+                    blob = a.blob(r)
+                except A.FormatError:
+                    if self._skip:
+                        continue
+                    raise
+                yield i, path, title, mime, r.front, r.size, blob
 
     def _postings(self, a, part):
         s = a.section((A.SEARCH_TITLE, A.SEARCH_BODY)[part.k])
         if s:
             for gram, ids in A.parse_postings(a.load(s))[2].items():
                 for i in ids:
-                    yield ("title", "body")[part.k], gram, i
+                    yield INDEXES[part.k], gram, i
+
+    def _pruned(self, a, part):
+        for idx, grams in a.pruned().items():
+            for gram in grams:
+                yield idx, gram
 
     def _verify(self, a, part):
-        for tier, name, expected, computed in a.verify():
+        for tier, name, expected, computed in a.verify(self._tiers):
             yield tier, name, expected.hex(), computed.hex(), expected == computed
 
     def _signatures(self, a, part):
@@ -155,28 +201,74 @@ class ArchiveSource(DataSource):
 
 def read_archives(spark: SparkSession, path: str, table: str = "entries", **options) -> DataFrame:
     spark.dataSource.register(ArchiveSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("content-archive").options(table=table, **options).load(path)
 
 
-def write_archives(entries: DataFrame, out: str, suffix: str = ".car", **options) -> DataFrame:
-    """Writes a file for each archive and returns archive, file and bytes. An archive is one file, so one task builds it; archives are built side by side. entries: archive, entry_id, path, title, mime_type, is_front, content."""
-    folder = re.sub("^file:(//)?", "", out)
+_KINDS = {"metadata": 0, "entry": 1, "redirect": 2}
+
 
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
+def write_archives(entries: DataFrame, out: str, suffix: str = ".car", metadata: DataFrame | None = None, redirects: DataFrame | None = None, strict: bool = False, **options) -> DataFrame:
+    """Writes a file for each archive and returns archive, file and bytes.
+
+    An archive is one file, so one task writes it, archives side by side; its rows stream through the task in order, and finished chunks go to the task's disk.
+    entries: archive, entry_id, path, title, mime_type, is_front, content; entries are numbered anew in the order of entry_id.
+    metadata: archive, key, value; required keys that an archive lacks get defaults, or with ``strict`` fail the write, as a key that occurs twice always does.
+    redirects: archive, redirect_id, path, target_id (an entry_id or a redirect_id of the archive), title and is_front if there; one whose target isn't there fails the write.
+    Options as the builder's (search, prune, chunk_bytes, level, secrets, ...).
+    """
+    folder = re.sub("^file:(//)?", "", out)
+    null = lambda kind: F.lit(None).cast(kind)
+    rows = entries.select("archive", F.lit(1).alias("kind"), F.col("entry_id").alias("id"), "path", "title", "mime_type", "is_front", F.col("content").cast("binary").alias("content"), null("long").alias("target"))
+    if metadata is not None:
+        rows = rows.unionByName(metadata.select("archive", F.lit(0).alias("kind"), null("long").alias("id"), F.col("key").alias("path"), null("string").alias("title"), null("string").alias("mime_type"), null("boolean").alias("is_front"), F.col("value").cast("binary").alias("content"), null("long").alias("target")))
+    if redirects is not None:
+        own = lambda c, kind: F.col(c) if c in redirects.columns else null(kind)
+        rows = rows.unionByName(redirects.select("archive", F.lit(2).alias("kind"), F.col("redirect_id").alias("id"), "path", own("title", "string").alias("title"), null("string").alias("mime_type"), own("is_front", "boolean").alias("is_front"), null("binary").alias("content"), F.col("target_id").alias("target")))
+
+    def finish(name: str, made: A.Builder, numbers: dict, waiting: list) -> tuple:
         from pyspark import TaskContext
 
-        rows = rows.sort_values("entry_id", kind="stable")
-        name = rows.archive.iloc[0]
-        content = [bytes(c) if isinstance(c, (bytes, bytearray)) else ("" if c is None else c).encode() for c in rows.content]
-        items = list(zip(rows.path.fillna(""), rows.title.fillna(""), rows.mime_type, content, rows.is_front.astype(bool).tolist()))
-        meta = {"title": name, "language": "en", "creator": "unknown", "date": "1970-01-01", "source": name}
-        data = A.build({k: v.encode() for k, v in meta.items()}, items, uuid=A.hashlib.md5(name.encode()).digest(), **options)
+        lacking = [k for k in ("title", "language", "creator", "date", "source") if not made.metadata.get(k, b"").strip()]
+        if strict and lacking:
+            raise ValueError(f"archive {name} lacks metadata: {', '.join(lacking)}")
+        defaults = {"title": name, "language": "und", "creator": "unknown", "date": "1970-01-01", "source": name}
+        made.metadata |= {k: defaults[k].encode() for k in lacking}
+        redirect_ids = {i: k | A.REDIRECT_BIT for k, (i, *_) in enumerate(waiting)}
+        for _, path, title, target, front in waiting:
+            goal = numbers.get(target, redirect_ids.get(target))
+            if goal is None:
+                raise ValueError(f"redirect {path} of archive {name} leads to {target}, which isn't there")
+            made.redirect(path, title, goal, front)
         os.makedirs(folder, exist_ok=True)
         own, final = f"{folder}/.{name}-{TaskContext.get().taskAttemptId()}", f"{folder}/{name}{suffix}"
         with open(own, "wb") as f:
-            f.write(data)
+            size = made.write(f)
         os.replace(own, final)
-        return pd.DataFrame({"archive": [name], "file": [final], "bytes": [len(data)]})
-
-    rows = entries.select("archive", "entry_id", "path", "title", "mime_type", "is_front", F.col("content"))
-    return rows.groupBy("archive").applyInPandas(build, "archive string, file string, bytes long")
+        return name, final, size
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, made, numbers, waiting = None, None, {}, []
+        for b in batches:
+            done = []
+            for archive, kind, i, path, title, mime, front, content, target in b.itertuples(index=False):
+                if archive != name or made is None:
+                    if made is not None:
+                        done.append(finish(name, made, numbers, waiting))
+                    name, numbers, waiting = archive, {}, []
+                    made = A.Builder(uuid=A.hashlib.md5((name or "").encode()).digest(), **options)
+                front = front is not None and front == front and bool(front)
+                if kind == 0:
+                    if path in made.metadata:
+                        raise ValueError(f"archive {name} has metadata {path} twice")
+                    made.metadata[path] = b"" if content is None else bytes(content)
+                elif kind == 1:
+                    numbers[int(i)] = made.add(path or "", title or "", mime or "application/octet-stream", b"" if content is None else bytes(content), front)
+                else:
+                    waiting.append((int(i), path or "", title or "", int(target), front))
+            if done:
+                yield pd.DataFrame(done, columns=["archive", "file", "bytes"])
+        if made is not None:
+            yield pd.DataFrame([finish(name, made, numbers, waiting)], columns=["archive", "file", "bytes"])
+
+    return rows.repartition("archive").sortWithinPartitions("archive", "kind", "id").mapInPandas(stream, "archive string, file string, bytes long")

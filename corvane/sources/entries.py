@@ -5,7 +5,7 @@ Ids: pages, documents and turns of conversations interleave, so ids need no coun
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.session import table
@@ -32,11 +32,12 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A redirect for each exact copy of a document, to the copy before it (the first one's entry at the end of the chain)."""
+    """A redirect for each exact copy of a document within its source: the last copy's leads to the first one's entry, the others' to the last copy's redirect. Texts that are null are no copies."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("digest"))
-    by = Window.partitionBy("digest").orderBy("doc_id")
-    rows = docs.withColumns({"before": F.lag("doc_id").over(by), "nth": F.row_number().over(by)}).filter("nth > 1")
-    target = F.when(F.col("nth") == 2, F.col("before") * 4 + 1).otherwise(F.col("before") + REDIRECT_BIT)
+    # least and greatest combine before the shuffle, so a text that very many rows share is no task's burden
+    ends = docs.filter("digest IS NOT NULL").groupBy("source", "digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    rows = docs.join(ends, ["source", "digest"]).filter("doc_id > first")
+    target = F.when(F.col("doc_id") == F.col("last"), F.col("first") * 4 + 1).otherwise(F.col("last") + REDIRECT_BIT)
     return rows.select(F.col("source").alias("archive"), (F.col("doc_id") + REDIRECT_BIT).alias("redirect_id"), F.concat(F.lit("copy/"), F.col("doc_id").cast("string")).alias("path"), target.alias("target_id"))
 
 
@@ -50,6 +51,6 @@ ENTRIES_SQL = """entries AS (
   SELECT 'conversations', (conv_id * 1000 + turn) * 4 + 2, 'conv/' || conv_id || '/' || turn, role, 'application/json', false, text, strlen(text)::BIGINT FROM conversations)"""
 REDIRECTS_SQL = """redirects AS (
   SELECT source AS archive, doc_id + 2147483648 AS redirect_id, 'copy/' || doc_id AS path,
-         CASE WHEN nth = 2 THEN before * 4 + 1 ELSE before + 2147483648 END AS target_id
-  FROM (SELECT *, lag(doc_id) OVER w AS before, row_number() OVER w AS nth FROM (SELECT doc_id, source, sha256(text) AS digest FROM documents)
-        WINDOW w AS (PARTITION BY digest ORDER BY doc_id)) WHERE nth > 1)"""
+         CASE WHEN doc_id = last THEN first * 4 + 1 ELSE last + 2147483648 END AS target_id
+  FROM (SELECT *, min(doc_id) OVER w AS first, max(doc_id) OVER w AS last FROM (SELECT doc_id, source, sha256(text) AS digest FROM documents WHERE text IS NOT NULL)
+        WINDOW w AS (PARTITION BY source, digest)) WHERE doc_id > first)"""

@@ -86,7 +86,7 @@ def test_dictionaries():
 
     d = zstandard.train_dictionary(2048, [(f"<p>sample {i} " * 9).encode() for i in range(400)]).as_bytes()
     small = [(f"{i}", "", "text/html", f"<p>sample {i} ".encode(), True) for i in range(20)]
-    a = A.Archive(A.build({}, small, dictionaries={"text/html-small": (7, d)}))
+    a = A.Archive(A.build({}, small, dictionaries={"html-small": (7, d)}))
     assert a.chunks[0].compression == A.ZSTD_DICT and a.blob(a.entries[19]) == b"<p>sample 19 "
 
 
@@ -99,12 +99,69 @@ def test_data_source(spark, archive, tmp_path):
     assert read("archives").first().entry_count == 5 and read("archives").first().archive == "lib"
     assert {r.path: bytes(r.content) for r in read("content").collect()} == {p: c for p, _, _, c, _ in PAGES}
     assert read("verify", recursive="true").filter("NOT ok").count() == 0 and read("signatures").first().valid
-    assert read("sections").filter("type_name = 'CONTENT'").count() == 1 and read("redirects").count() == 2 and read("mime").count() == 5 and read("chunks").count() > 0
+    assert read("sections").filter("type_name = 'CONTENT'").count() == 1 and read("chunks").filter("size > 0").count() > 0 and read("redirects").count() == 2 and read("mime").count() == 5 and read("chunks").count() > 0
     assert read("postings").filter("idx = 'title'").count() == len("main") - 2 + len("copy") - 2
     with pytest.raises(Exception, match="no table"):
         read("nothing").count()
 
 
+def test_files_are_read_in_parts(archive):
+    class Counting(A.FileRanges):
+        read = 0
+
+        def __getitem__(self, part):
+            out = super().__getitem__(part)
+            self.read += len(out)
+            return out
+
+    big = A.build({}, [(f"p{i}", "", "text/html", random.Random(i).randbytes(5000), False) for i in range(200)], chunk_bytes=50_000)
+    ranges = Counting(io.BytesIO(big))
+    a = A.Archive(ranges)
+    assert ranges.read < 2000 and a.blob(a.entries[7]) == random.Random(7).randbytes(5000) and ranges.read < 0.2 * len(big)
+    assert [a.chunk_size(c) for c in a.chunks] == [len(a.chunk(c.id)) for c in a.chunks] and all(e == c for *_, e, c in a.verify())
+    a.check()
+    bad = bytearray(big)
+    bad[len(big) // 2] ^= 1
+    with pytest.raises(A.ChecksumMismatch):
+        A.Archive(bytes(bad)).check()
+
+
+def test_pruned_grams_are_recorded(spark, tmp_path):
+    rows = [(f"p{i}", f"shared title{i % 3}", "text/plain", b"body", True) for i in range(60)]
+    (tmp_path / "x.car").write_bytes(A.build({}, rows, prune_least=30))
+    read = lambda t: read_archives(spark, str(tmp_path), t)
+    from corvane.operators import search
+
+    assert read("pruned").filter("idx = 'title'").count() == len("shared title") - 2 and read("archives").first().title_docs == 60
+    assert search.search_index(read("postings"), "shared title1", None, True, read("pruned")).count() == 20
+    assert search.search_index(read("postings"), "shared", None, True, read("pruned")).count() == 0
+
+
+def test_damaged_files(spark, archive, tmp_path):
+    (tmp_path / "good.car").write_bytes(archive)
+    (tmp_path / "cut.car").write_bytes(archive[:150])
+    flipped = bytearray(archive)
+    flipped[len(archive) - 300] ^= 255
+    (tmp_path / "flipped.car").write_bytes(bytes(flipped))
+    with pytest.raises(Exception, match="cut off"):
+        read_archives(spark, str(tmp_path), "entries").count()
+    rows = read_archives(spark, str(tmp_path), "entries", damaged="skip", verify="true")
+    assert {r.archive for r in rows.collect()} == {"good"} and rows.count() == 5
+    with pytest.raises(Exception, match="file"):
+        read_archives(spark, str(tmp_path / "flipped.car"), "metadata", verify="true").count()
+    assert {r.tier for r in read_archives(spark, str(tmp_path / "good.car"), "verify", tiers="section").collect()} == {"section"}
+
+
+def test_filters_choose_what_is_read(spark, archive, tmp_path):
+    (tmp_path / "one.car").write_bytes(archive)
+    (tmp_path / "two.car").write_bytes(archive)
+    rows = read_archives(spark, str(tmp_path), "content")
+    assert [r.archive for r in rows.filter("archive = 'one' AND path = 'a/b.css'").collect()] == ["one"]
+    assert rows.filter("entry_id IN (0, 3)").count() == 4 and rows.filter("mime_type = 'image/png'").count() == 2 and rows.filter("archive = 'three'").count() == 0
+    (tmp_path / "bad.car").write_bytes(b"x" * 200)
+    assert rows.filter("archive = 'one'").count() == 5  # the damaged file isn't opened
+
+
 def test_write_and_read_back(spark, sf):
     from corvane.sources.entries import entries
 
@@ -116,6 +173,31 @@ def test_write_and_read_back(spark, sf):
     assert {(r.archive, r.path, bytes(r.content).decode()) for r in back.collect()} == {(r.archive, r.path, r.content) for r in rows.collect()}
 
 
+def test_write_with_metadata_redirects_and_keys(spark):
+    e = spark.createDataFrame([(a, i * 3, f"p{i}", f"T{i}", "text/html", i > 0, f"<p>{a}{i}</p>") for a in "ab" for i in range(4)], "archive string, entry_id long, path string, title string, mime_type string, is_front boolean, content string")
+    m = spark.createDataFrame([("a", k, k.upper()) for k in ("title", "language", "creator", "date", "source", "main_entry")], "archive string, key string, value string")
+    r = spark.createDataFrame([("a", 100, "old", 6), ("a", 101, "older", 100), ("b", 100, "old", 0)], "archive string, redirect_id long, path string, target_id long")
+    out = scratch(spark, "archives")
+    write_archives(e, out, metadata=m, redirects=r, secrets=[bytes(range(32)), bytes(range(1, 33))], strict=False).collect()
+    read = lambda t: read_archives(spark, out, t, suffix=".car")
+    from corvane.operators import catalog, library, reports
+
+    assert {x.key: bytes(x.value) for x in read("metadata").filter("archive = 'a'").collect()} == {k: k.upper().encode() for k in ("title", "language", "creator", "date", "source", "main_entry")}
+    assert {(x.archive, x.path): bytes(x.content).decode() for x in catalog.resolved_content(read("content"), read("redirects")).collect() if x.path.startswith("old")} == {("a", "old"): "<p>a2</p>", ("a", "older"): "<p>a2</p>", ("b", "old"): "<p>b0</p>"}
+    assert [(x.nth, x.valid) for x in read("signatures").filter("archive = 'a'").orderBy("nth").collect()] == [(0, True), (1, True)] and read("verify").filter("NOT ok").count() == 0
+    listed = {x.slug: x for x in library.describe_archives(read("archives"), read("metadata"), "http://h").collect()}
+    assert listed["a"].title == "TITLE" and listed["a"].url == "http://h/a/" and listed["a"].entries == 4 and listed["b"].redirects == 1 and listed["a"].has_search
+    assert '"slug":"a"' in {x.uri: x.text for x in library.resources(read("archives"), read("metadata")).collect()}["archive://a/metadata"]
+    info = reports.info(read("entries"), read("redirects"), sections=read("sections"), chunks=read("chunks"))
+    assert '"sections"' in info.first().info and '"chunks"' in info.first().info and reports.info_lines(info).count() > 10
+    one = lambda t, a: read(t).filter(f"archive = '{a}'")
+    rows = reports.comparison(*[one("entries", a) for a in "ab"], *[one("metadata", a).select("key", "value") for a in "ab"], *[one("sections", a) for a in "ab"]).collect()
+    assert {x.section for x in rows} == {"size", "mime", "metadata", "budget content", "budget search", "budget overhead"}
+    for broken, word in ((dict(redirects=r.union(spark.createDataFrame([("a", 102, "x", 55)], r.schema))), "isn't there"), (dict(metadata=m.union(m)), "twice"), (dict(strict=True), "lacks metadata")):
+        with pytest.raises(Exception, match=word):
+            write_archives(e, out, **broken).collect()
+
+
 def book(title="A Book", nav=False):
     z = io.BytesIO()
     with zipfile.ZipFile(z, "w") as f:
