@@ -98,7 +98,8 @@ def write_index(entries: DataFrame, path: str, share: float = PRUNE_SHARE, least
     """Stores postings under path: Parquet by index, clustered by gram, so a lookup reads the row groups of its grams alone; and the grams that were pruned, which lookups leave out of their count."""
     spark = entries.sparkSession
     docs = entries.filter("is_front").groupBy("archive").agg(F.count("*").alias("docs")).withColumn("idx", F.explode(F.array(*map(F.lit, INDEXES))))
-    _too_frequent(frequencies(entries, by_archive=True), docs, share, least).write.mode("overwrite").parquet(f"{path}/pruned")
+    large = docs.filter(F.col("docs") >= least).select("archive").distinct()  # no gram of a smaller archive can be pruned
+    _too_frequent(frequencies(entries.join(large, "archive", "left_semi"), by_archive=True), docs, share, least).write.mode("overwrite").parquet(f"{path}/pruned")
     pruned = spark.read.parquet(f"{path}/pruned")  # a few thousand grams an archive at most
     kept = postings(entries).join(pruned, ["archive", "idx", "gram"], "left_anti")
     kept.repartitionByRange("idx", "gram", "archive", "entry_id").sortWithinPartitions("idx", "gram", "archive", "entry_id").write.mode("overwrite").partitionBy("idx").parquet(f"{path}/postings")
