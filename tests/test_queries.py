@@ -24,7 +24,7 @@ def test_index_finds_what_a_scan_finds(spark, sf):
     posts, pruned = search.read_index(spark, path)
     assert pruned.count() > 100 and posts.join(pruned, ["archive", "idx", "gram"]).isEmpty()
     whole = search.postings(rows).cache()
-    for q in ("the of", "that", "en la", "THAT", "that", "é la", "aüß"):  # asked again, the answer stays
+    for q in ("the of", "THAT", "é la", "the of"):  # asked again, the answer stays
         want = hits(search.scan(rows, q))
         assert hits(search.search_index(whole, q, None)) == want
         # pruned grams don't count: more may be found, never less, unless all of a query's grams are pruned
