@@ -4,17 +4,17 @@
 2. Fingerprints. A text's features are its distinct words and its distinct pairs of neighbouring words in lower case, whatever its
    length; numbers and short words count, and a letter of a script without blanks is a word. A 192-bit SimHash is
    counted bit by bit in one aggregation that combines on the map side. Texts with equal fingerprints are linked and stand in the forest as one.
-3. Forest. Each tree reads the bits in a random order of its own. Texts that share a prefix of a tree are
-   candidates. The prefixes are as long as the texts' density asks for: the shortest under which a text has CROWDING others on average, as counted on
-   a tree of these texts. The forest has as many trees as a pair at the accepted distance needs to share a prefix with probability RECALL.
-4. Density. A prefix with more than CROWD texts is not searched pair by pair. LEADERS texts of it, drawn by hash, are compared
-   with all of its texts: linear work, in which a group of near copies is found as links to its leaders. Texts that no leader is near
-   go on DEEPER bits down, in as many subtrees as these bits need for RECALL, until no prefix is crowded.
-5. Verification. A candidate pair is a link if all 192 bits together differ in at most MOST_BITS places; checked inside the join, before any pair is written.
+3. Forest. Each tree reads DEPTH bits in a random order of its own. Texts that share a prefix of a tree are
+   candidates. The forest has as many trees as a pair at the accepted distance needs to share a prefix with probability RECALL. Both are the same for
+   every table, so whether two texts are linked depends on these two texts alone.
+4. Verification. A candidate pair is a link if all 192 bits together differ in at most MOST_BITS places; checked inside the join, before any pair is written.
+5. Density. Under a prefix with more than CROWD texts the same classes are found by fewer comparisons, and no link that joins two classes is left out.
+   LEADERS texts, drawn by hash, are compared with all of the prefix's texts; what is near a leader is linked to it, so a group of near copies costs linear work.
+   Between a leader's texts and all others of other classes every pair is compared that the triangle inequality leaves, and the texts that no leader is near
+   go through this again; when that takes few away, all their pairs are compared, in tiles over many tasks.
 6. Classes. Links and shared texts are joined into connected components; a class's id is its smallest doc_id.
 
-Results: one row a document with class_id, n_links (what its text is linked to: other texts with its fingerprint, and other fingerprints; under
-crowded prefixes those of the leaders), n_copies (documents with this very text, itself included) and kept (it is its class's one representative).
+Results: one row a document with class_id, n_copies (documents with this very text, itself included) and kept (it is its class's one representative).
 
 Defined results: null texts are classes of their own; empty texts are equal texts; texts without a word are linked to equal
 texts only; texts of any length count whole. Links are between texts: rows that repeat a doc_id with unrelated texts stand in unrelated classes (which then may share
@@ -39,13 +39,17 @@ MOST_BITS = 36
 RECALL = 0.95
 #: A forest has so many trees at least; short prefixes could do with fewer.
 LEAST_TREES = 6
-#: Texts that a text shares a prefix with, on average, and depths that are tried for it.
+#: Bits of a prefix, for tables of any size. Bits of unlike texts of the check's tables collide as 0.97 fair ones do (47,257 texts), so two such texts share a prefix once in about 47,000 pairs.
+DEPTH = 16
+#: For depth_for: texts that a text shares a prefix with, on average, and depths that are tried for it.
 CROWDING, STEPS = 512, 16
-#: Texts under a prefix beyond which it is searched through LEADERS leaders, and how many bits the others then go down.
+#: Texts under a prefix beyond which it is searched through LEADERS leaders; DEEPER is a depth the tests look at.
 CROWD, LEADERS, DEEPER = 16 * CROWDING, 16, 6
+#: A prefix is crowded if more texts of a sample are under it, so large that at CROWD it has this many; what isn't grouped goes round again if at most FEWER of it is left.
+SAMPLED, FEWER = 64, 0.75
 #: Crowded prefixes up to this many are sent to all tasks, more are joined.
 BROADCAST = 50_000
-#: A crowded prefix's texts meet its leaders in so many parts.
+#: A crowded prefix's texts meet its leaders, and each other, in so many parts.
 PARTS = 16
 SEED = 20
 
@@ -64,7 +68,7 @@ def trees_needed(depth: int, differ: int = MOST_BITS, recall: float = RECALL) ->
 
 
 def depth_for(texts: DataFrame, count: int, crowding: int = CROWDING) -> int:
-    """The shortest prefix, of an order of its own, under which a text has ``crowding`` others at most on average. Counted at each depth from log2 of the number of texts, less those bits, upwards: bits of alike texts tell less apart than their number says."""
+    """For choosing DEPTH, no query asks for it: the shortest prefix, of an order of its own, under which a text has ``crowding`` others at most on average. Counted at each depth from log2 of the number of texts, less those bits, upwards: bits of alike texts tell less apart than their number says."""
     least = max(1, math.ceil(math.log2(max(2, count))) - math.ceil(math.log2(crowding)))
     ladder = list(range(least, min(least + STEPS, 60)))
     whole = F.expr(_prefix(_orders(-1, 1, ladder[-1])))[0]
@@ -120,10 +124,15 @@ def _orders(level: int, trees: int, depth: int) -> list[list[int]]:
 _PRINT = ("id", *[f"s{k}" for k in range(WORDS)])
 
 
+def _differ(a: str, b: str):
+    """In how many bits the prints with these names differ."""
+    differ = [F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in range(WORDS)]
+    return sum(differ[1:], differ[0])
+
+
 def _near(a: str, b: str, most_bits: int):
     """Condition that the prints with these names differ in at most so many bits."""
-    differ = [F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in range(WORDS)]
-    return sum(differ[1:], differ[0]) <= most_bits
+    return _differ(a, b) <= most_bits
 
 
 def _pairs(rows: DataFrame, most_bits: int) -> DataFrame:
@@ -133,38 +142,94 @@ def _pairs(rows: DataFrame, most_bits: int) -> DataFrame:
     return met.select("id_a", "id_b")
 
 
-def _stars(rows: DataFrame, most_bits: int, leaders: int) -> tuple[DataFrame, DataFrame]:
-    """Of crowded nodes' rows: links to the node's leaders (node, id, leader), and the rows that are neither near a leader nor one."""
+def _leaders(rows: DataFrame, leaders: int) -> DataFrame:
+    """Leaders of each node: node, leader and its words l0..l2."""
     drawn = rows.groupBy("node", F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(leaders)).alias("seat")).agg(F.min(F.struct(*_PRINT)).alias("l"))
-    drawn = drawn.select("node", F.col("l.id").alias("leader"), *[F.col(f"l.s{k}").alias(f"l{k}") for k in range(WORDS)], F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
-    met = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).join(drawn, ["node", "part"])
-    star = cut(met.filter(_near("s", "l", most_bits) | (F.col("id") == F.col("leader"))).select("node", "id", "leader"))
-    return star, rows.join(star.select("node", "id").distinct(), ["node", "id"], "left_anti")
+    return drawn.select("node", F.col("l.id").alias("leader"), *[F.col(f"l.s{k}").alias(f"l{k}") for k in range(WORDS)])
+
+
+def _part():
+    return F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")
+
+
+def _parts():
+    return F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+
 
+def _classed(rows: DataFrame, edges: DataFrame, *ids: str) -> DataFrame:
+    """Adds to each of the ids its class in edges, as class_ and the id's name."""
+    classes = cut(components(edges))
+    for i in ids:
+        rows = rows.join(classes.select(F.col("id").alias(i), F.col("class").alias(f"class_{i}")), i, "left").withColumn(f"class_{i}", F.coalesce(f"class_{i}", i))
+    return rows
 
-def links(texts: DataFrame, most_bits: int = MOST_BITS, crowd: int = CROWD, leaders: int = LEADERS, depth: int | None = None) -> DataFrame:
-    """Distinct verified links id_a < id_b of texts (id, s0..s2), whose fingerprints are distinct: all that the forest meets, but under crowded prefixes those with the leaders."""
-    if depth is None:
-        count = texts.count()
-        depth = depth_for(texts, count) if count else 1
+
+def _ordered(a: str, b: str) -> list:
+    return [F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b")]
+
+
+def _across(rows: DataFrame, met: DataFrame, mine: DataFrame, edges: DataFrame, most_bits: int) -> DataFrame:
+    """Links between what a leader is near to and the node's other texts, one for each text and leader. By the triangle inequality they are of texts that are no farther from the leader than its farthest text and most_bits together; those in the leader's class already are left out."""
+    far = mine.groupBy("node", "leader").agg(F.max("d").alias("radius"))
+    own = mine.select("node", "id", F.col("leader").alias("own"))
+    asked = met.filter(F.col("d") > most_bits).join(far, ["node", "leader"]).filter(F.col("d") <= F.col("radius") + most_bits).join(own, ["node", "id"], "left").filter("own IS NULL OR own < leader")
+    asked = _classed(asked.select("node", "id", "leader"), edges, "id", "leader").filter("class_id != class_leader")
+    asked = asked.select("node", "id", "leader").join(rows, ["node", "id"]).select("node", "leader", F.col("id").alias("other"), *[F.col(f"s{k}").alias(f"l{k}") for k in range(WORDS)], _parts().alias("part"))
+    held = mine.select("node", "id", "leader").join(rows, ["node", "id"]).withColumn("part", _part())
+    near = held.join(asked, ["node", "leader", "part"]).filter(_near("s", "l", most_bits))
+    return near.groupBy("node", "leader", "other").agg(F.min("id").alias("id")).select(*_ordered("id", "other"))
+
+
+def _tiled(rows: DataFrame, edges: DataFrame, most_bits: int) -> DataFrame:
+    """Links between texts of different classes within each node, all pairs in PARTS x PARTS tiles."""
+    rows = cut(_classed(rows, edges, "id"))
+    cols = lambda x: ["node", F.col("id").alias(f"id_{x}"), F.col("class_id").alias(f"class_{x}"), *[F.col(f"s{k}").alias(f"{x}{k}") for k in range(WORDS)]]
+    a = rows.select(*cols("a"), _part().alias("part_a"), _parts().alias("part_b"))
+    b = rows.select(*cols("b"), _parts().alias("part_a"), _part().alias("part_b"))
+    met = a.join(b, ["node", "part_a", "part_b"]).filter((F.col("id_a") < F.col("id_b")) & (F.col("class_a") != F.col("class_b")) & _near("a", "b", most_bits))
+    return met.select("id_a", "id_b")
+
+
+def _crowded(rows: DataFrame, found: DataFrame, most_bits: int, crowd: int, leaders: int) -> DataFrame:
+    """found, and links of crowded nodes' rows so many that together they have the components of all links there."""
+    n = rows.count()
+    while n:
+        lead = _leaders(rows, leaders).withColumn("part", _parts())
+        # two texts near each other, one of them near a leader: the other is within twice most_bits of it
+        met = rows.withColumn("part", _part()).join(lead, ["node", "part"]).withColumn("d", _differ("s", "l")).filter(F.col("d") <= 2 * most_bits)
+        met = cut(met.select("node", "id", "leader", "d"))
+        found = cut(found.unionByName(met.filter((F.col("d") <= most_bits) & (F.col("id") != F.col("leader"))).select(*_ordered("id", "leader"))).distinct())
+        mine = cut(met.filter(F.col("d") <= most_bits).groupBy("node", "id").agg(F.min(F.struct("d", "leader")).alias("m")).select("node", "id", "m.leader", "m.d"))
+        found = cut(found.unionByName(_across(rows, met, mine, found, most_bits)).distinct())
+        rows = cut(rows.join(mine.select("node", "id"), ["node", "id"], "left_anti"))
+        left = rows.groupBy("node").count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+        if left["all"] and (left["most"] <= crowd or left["all"] > FEWER * n):
+            return found.unionByName(_tiled(rows, found, most_bits)).distinct()
+        n = left["all"]
+    return found
+
+
+def _nodes(texts: DataFrame, trees: int, depth: int) -> DataFrame:
+    """A row for each text and tree, with the node it stands in."""
+    rows = texts.select(*_PRINT, F.posexplode(F.expr(_prefix(_orders(0, trees, depth)))).alias("tree", "prefix"))
+    return rows.select((F.col("prefix") * trees + F.col("tree")).alias("node"), *_PRINT)
+
+
+def links(texts: DataFrame, most_bits: int = MOST_BITS, crowd: int = CROWD, leaders: int = LEADERS, depth: int = DEPTH) -> DataFrame:
+    """Distinct links id_a < id_b of texts (id, s0..s2), whose fingerprints are distinct: all pairs that share a prefix of a tree and differ in at most most_bits places, whatever other texts there are. Under crowded prefixes only as many of them as join what all of them join."""
     trees = trees_needed(depth, most_bits)
-    rows = texts.select(*_PRINT, F.posexplode(F.expr(_prefix(_orders(0, trees, depth)))).alias("tree", "prefix")).select((F.col("prefix") * trees + F.col("tree")).alias("node"), *_PRINT)
-    found, level = None, 0
-    while True:
-        crowded = cut(rows.groupBy("node").count().filter(F.col("count") > crowd).select("node"))  # few: each stands for more than ``crowd`` texts
-        n = crowded.count()
-        if not n:
-            near = _pairs(rows, most_bits)
-            return (near if found is None else found.unionByName(near)).distinct()
-        if n <= BROADCAST:
-            crowded = F.broadcast(crowded)
-        near = _pairs(rows.join(crowded, "node", "left_anti"), most_bits)
-        star, others = _stars(rows.join(crowded, "node", "left_semi"), most_bits, leaders)
-        near = near.unionByName(star.filter("id != leader").select(F.least("id", "leader").alias("id_a"), F.greatest("id", "leader").alias("id_b")))
-        found = near if found is None else found.unionByName(near)
-        level += 1
-        deeper = F.posexplode(F.expr(_prefix(_orders(level, trees_needed(DEEPER, most_bits), DEEPER)))).alias("tree", "prefix")
-        rows = cut(others.select("node", *_PRINT, deeper).select(F.xxhash64("node", "tree", "prefix").alias("node"), *_PRINT))
+    rows = _nodes(texts, trees, depth)
+    # which way a node goes doesn't change what is joined, so a share of the texts is enough to tell
+    every = max(1, crowd // SAMPLED)
+    some = _nodes(texts.filter(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(every)) == 0), trees, depth)
+    crowded = cut(some.groupBy("node").count().filter(F.col("count") > crowd // every).select("node"))
+    n = crowded.count()
+    if not n:
+        return _pairs(rows, most_bits).distinct()
+    if n <= BROADCAST:
+        crowded = F.broadcast(crowded)
+    found = cut(_pairs(rows.join(crowded, "node", "left_anti"), most_bits).distinct())
+    return _crowded(cut(rows.join(crowded, "node", "left_semi").select("node", *_PRINT)), found, most_bits, crowd, leaders)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -186,7 +251,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", most_bits: int = MOST_BITS, crowd: int = CROWD) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies and kept, a row for each row of df."""
+    """doc_id, class_id, n_copies and kept, a row for each row of df."""
     return _judged(df, doc_id, text, most_bits, crowd).drop("digest")
 
 
@@ -198,20 +263,19 @@ def _judged(df: DataFrame, doc_id: str = "doc_id", text: str = "text", most_bits
     firsts = of.filter("digest IS NOT NULL").groupBy("digest").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("first"), F.count("*").alias("n_copies"))
     texts = cut(fingerprints(df, doc_id, text).join(firsts, "digest").select("digest", *words, "n_copies", F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row")))
     # rows are unique, so a row's number is its text's in the graph, whatever the doc_ids
-    prints = texts.filter("s0 IS NOT NULL AND row IS NOT NULL").groupBy(*words).agg(F.min("row").alias("id"), F.count("*").alias("same"))
+    prints = texts.filter("s0 IS NOT NULL AND row IS NOT NULL").groupBy(*words).agg(F.min("row").alias("id"))
     # narrow rows that the forest makes many of: few partitions would leave most cores idle
     prints = cut(prints.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     found = cut(links(prints.select("id", *words), most_bits, crowd))
-    n = found.select(F.explode(F.array("id_a", "id_b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
     classes = components(found)
-    at = prints.join(n, "id", "left").join(classes, "id", "left").select(*words, F.coalesce("class", "id").alias("class"), (F.coalesce("n", F.lit(0)) + F.col("same") - 1).alias("n_links"))
-    by_text = texts.filter("row IS NOT NULL").join(at, words, "left").select("digest", "doc_id", "row", "n_copies", F.coalesce("class", "row").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    at = prints.join(classes, "id", "left").select(*words, F.coalesce("class", "id").alias("class"))
+    by_text = texts.filter("row IS NOT NULL").join(at, words, "left").select("digest", "doc_id", "row", "n_copies", F.coalesce("class", "row").alias("class"))
     heads = by_text.groupBy("class").agg(F.min(F.struct("doc_id", "digest", "row")).alias("head"))
-    by_text = by_text.join(heads, "class").select("digest", F.col("head.doc_id").alias("class_id"), F.col("head.row").alias("head"), "n_links", "n_copies")
-    without_ids = texts.filter("row IS NULL").select("digest", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("head"), F.lit(0).cast("long").alias("n_links"), "n_copies")
+    by_text = by_text.join(heads, "class").select("digest", F.col("head.doc_id").alias("class_id"), F.col("head.row").alias("head"), "n_copies")
+    without_ids = texts.filter("row IS NULL").select("digest", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("head"), "n_copies")
     out = of.join(by_text.unionByName(without_ids), "digest", "left")
     has = F.col("doc_id").isNotNull() & F.col("digest").isNotNull()
-    return out.select("doc_id", F.when(has, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), (~has | (F.col("row") == F.col("head"))).alias("kept"), "digest")
+    return out.select("doc_id", F.when(has, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), (~has | (F.col("row") == F.col("head"))).alias("kept"), "digest")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
