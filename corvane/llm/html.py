@@ -316,7 +316,8 @@ def main_elements(rows: DataFrame, html: str) -> DataFrame:
             yield pd.DataFrame(found, columns=["__host", "path", "depth", "main", "size"])
 
     each = rows.filter("__classes IS NOT NULL").select("__host", "__classes", html).mapInPandas(weigh, "__host string, path long, depth int, main boolean, size long")
-    by = each.groupBy("__host", "path").agg(F.min("depth").alias("depth"), F.max("main").alias("main"), F.sum("size").alias("size"))
+    # read twice below, and pages are to be parsed once; a row for each element of a host's pages
+    by = cut(each.groupBy("__host", "path").agg(F.min("depth").alias("depth"), F.max("main").alias("main"), F.sum("size").alias("size")))
     by = by.join(by.filter("path = 0").select("__host", F.col("size").alias("total")), "__host")
     some = F.max(F.when(F.col("main") & (F.col("size") >= SOME * F.col("total")), F.struct("size", -F.col("depth"), "path")))["path"]
     most = F.max(F.when(F.col("size") >= MOST * F.col("total"), F.struct("depth", "size", "path")))["path"]

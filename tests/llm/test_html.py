@@ -150,3 +150,12 @@ def test_names_and_broken_markup_lose_no_text(spark):
 def test_a_large_host_and_a_token_that_one_page_repeats(spark):
     pages = [f"<body><div id=a>Site</div><div class=main{n}><p>Text {n}.</p></div>{'<div id=a>Site</div>' * (n == 5)}</body>" for n in range(200)]
     assert extracted(spark, pages) == [f"Text {n}." for n in range(200)]
+
+
+def test_pages_are_parsed_once_for_the_main_elements(spark):
+    rows = [("a", [(5, [1, 2])], f"<html><body><div>Site</div><article>Page {i}</article></body></html>") for i in range(5)]
+    df = spark.createDataFrame(rows, "__host string, __classes array<struct<pages: long, keys: array<long>>>, html string")
+    found = h.main_elements(df, "html")
+    assert found.count() == 1
+    # the join with a host's total would parse them again
+    assert "weigh" not in found._jdf.queryExecution().optimizedPlan().toString()
