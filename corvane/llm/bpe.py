@@ -5,7 +5,7 @@ and is *compatible* with the last token of what precedes it (merging the two tok
 the two tokens back). Storing that last token for each prefix gives the encoding in linear time, makes
 appending exact (old entries never change), and confines an edit to the pieces near it.
 
-Nulls and empty texts have no tokens; other columns are carried along untouched; repeated rows are encoded each.
+Nulls and empty texts have no tokens; other columns are carried along untouched; repeated rows stay, each with its own result.
 Names of added columns replace columns of that name.
 """
 
@@ -34,12 +34,20 @@ def rank_file() -> str:
 class Vocabulary:
     """Token bytes by rank, the pair each token was merged from, and the pairs' merges."""
 
+    TAIL = 4
+
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for b, r in ranks.items():
             self.tokens[r] = b
-        self.longest = max(map(len, ranks))
+        # lengths of the tokens that end in TAIL bytes, the longest first, and then of those that are shorter
+        short, tails = tuple(range(self.TAIL - 1, 0, -1)), {}
+        for b in ranks:
+            if len(b) >= self.TAIL:
+                tails.setdefault(b[-self.TAIL :], set()).add(len(b))
+        self.short = short
+        self.lengths = {tail: (*sorted(n, reverse=True), *short) for tail, n in tails.items()}
         self.merge: dict[tuple[int, int], int] = {}
         self.split: list[tuple[int, int]] = [(i, i) for i in range(len(self.tokens))]
         self._fits: dict[tuple[int, int], bool] = {}
@@ -84,10 +92,13 @@ class Vocabulary:
 
     def extend(self, last: list[int], piece: bytes) -> list[int]:
         """Fills in the last token of each prefix of piece beyond the prefixes in last (last[i]: of the first i + 1 bytes)."""
-        ranks, fits, longest = self.ranks, self._fits, self.longest
+        ranks, fits, lengths, short, tail = self.ranks.get, self._fits, self.lengths.get, self.short, self.TAIL
         for end in range(len(last) + 1, len(piece) + 1):
-            for begin in range(max(0, end - longest), end):
-                token = ranks.get(piece[begin:end])
+            for n in lengths(piece[end - tail : end], short) if end >= tail else short:
+                begin = end - n
+                if begin < 0:
+                    continue
+                token = ranks(piece[begin:end])
                 if token is not None:
                     if begin == 0:
                         break
@@ -235,22 +246,28 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None, out: str =
     return df.withColumn(out, run(F.col(ids)))
 
 
+def digests(texts: list[str], known: PieceCache, v: Vocabulary) -> list[tuple[int, str, str]]:
+    """For each text its number of tokens and the digests of its ids and of what they decode to. Equal texts of a batch, as a mix's copies are, are encoded once."""
+    import numpy as np
+
+    each = list(dict.fromkeys(texts))
+    made = {}
+    for t, packed in zip(each, encode_packed(each, known)):
+        back = v.decode(np.frombuffer(packed, np.uint32).tolist())
+        made[t] = (len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(back).hexdigest())
+    return [made[t] for t in texts]
+
+
 def round_trip(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """Adds n_tokens, ids_sha256 and decoded_sha256: each text encoded, and its ids decoded again, in one pass without a shuffle; ids never leave the task."""
     path = path or rank_file()
     bound_batches(df.sparkSession)
-    import numpy as np
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known, v = prefix_cache(path), load(path)
         for s in batches:
-            n, a, b = [], [], []
-            for packed in encode_packed(["" if t is None else t for t in s], known):
-                n.append(len(packed) // 4)
-                a.append(hashlib.sha256(packed).hexdigest())
-                b.append(hashlib.sha256(v.decode(np.frombuffer(packed, np.uint32).tolist())).hexdigest())
-            yield pd.DataFrame({"n_tokens": n, "ids_sha256": a, "decoded_sha256": b})
+            yield pd.DataFrame(digests(["" if t is None else t for t in s], known, v), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     made = ("n_tokens", "ids_sha256", "decoded_sha256")
     rest = [c for c in df.columns if c not in made]

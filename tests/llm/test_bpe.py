@@ -88,3 +88,13 @@ def test_query_covers_the_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     assert len(got) == len(docs)
     assert all(got[d.doc_id].decoded_sha256 == hashlib.sha256(d.text.encode()).hexdigest() for d in docs)
+
+
+def test_copies_in_a_batch_are_encoded_once(monkeypatch):
+    met, split = [], bpe.split_bytes
+    monkeypatch.setattr(bpe, "split_bytes", lambda texts: split(met.extend(texts) or texts))
+    known, v = bpe.prefix_cache(bpe.rank_file()), bpe.load(bpe.rank_file())
+    texts = ["one text", "one text", "", "another", "one text"]
+    got = bpe.digests(texts, known, v)
+    assert sorted(met) == ["", "another", "one text"]
+    assert got == [bpe.digests([t], known, v)[0] for t in texts] and got[0][2] == hashlib.sha256(b"one text").hexdigest()
