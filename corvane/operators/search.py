@@ -6,16 +6,20 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.functions.columns import fold
+from corvane.session import cut
 
 INDEXES = ("title", "body")
-#: A gram is pruned if at least so many of an index's documents hold it, and this share of them.
+#: Where grams are to be pruned: those that at least so many of an index's documents hold, and this share of them.
 PRUNE_SHARE, PRUNE_LEAST = 0.5, 1000
-_POSTS = "archive string, idx string, gram int, entry_id long"
+_BLOCKS, _PRUNED = "archive string, idx string, gram int, ids array<long>", "archive string, idx string, gram int, df long"
+#: Bytes of content whose grams a task holds at once.
+_SLICE = 8 << 20
 
 
 def is_markup() -> Column:
@@ -50,18 +54,46 @@ def _grams(b: pd.DataFrame, indexes: tuple[str, ...]) -> Iterator[tuple[str, lis
         yield "body", out
 
 
-def postings(entries: DataFrame, indexes: tuple[str, ...] = INDEXES) -> DataFrame:
-    """archive, idx, gram and entry_id, each once. An entry's texts are parsed and its grams made distinct in its task, so nothing is shuffled."""
+def _slices(b: pa.RecordBatch) -> Iterator[pd.DataFrame]:
+    """A batch's rows, an archive at a time and at most so many bytes of content at once, so a task's memory doesn't grow with its batches."""
+    import numpy as np
+    import pyarrow.compute as pc
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    size = np.cumsum(pc.fill_null(pc.binary_length(b.column("content")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    part = size // _SLICE
+    for at in np.unique(part):
+        first, past = np.searchsorted(part, at), np.searchsorted(part, at, "right")
+        for _, rows in b.slice(first, past - first).to_pandas().groupby("archive", dropna=False, sort=False):
+            yield rows
+
+
+def blocks(entries: DataFrame, indexes: tuple[str, ...] = INDEXES) -> DataFrame:
+    """archive, idx, gram and the ids of entries that hold it, a list for each slice of a task's rows. An entry's texts are parsed and its grams made distinct in its task, so nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for b in batches:
-            for idx, g in _grams(b, indexes):
-                n = [len(x) for x in g]
-                yield pd.DataFrame({"archive": np.repeat(b.archive.to_numpy(), n), "idx": idx, "gram": np.concatenate(g) if g else np.zeros(0, np.int32), "entry_id": np.repeat(b.entry_id.to_numpy(), n)})
+            for rows in _slices(b):
+                archive, entry = rows.archive.iloc[0], rows.entry_id.to_numpy()
+                for idx, g in _grams(rows, indexes):
+                    gram = np.concatenate(g)
+                    order = np.argsort(gram, kind="stable")
+                    gram, first = np.unique(gram[order], return_index=True)
+                    ids = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(np.repeat(entry, [len(x) for x in g])[order]))
+                    names = [pa.array([x], pa.string()).take(pa.array(np.zeros(len(gram), np.int32))) for x in (archive, idx)]
+                    yield pa.RecordBatch.from_arrays([*names, pa.array(gram.astype(np.int32)), ids], ["archive", "idx", "gram", "ids"])
 
-    return _front(entries, indexes).mapInPandas(run, _POSTS)
+    return _front(entries, indexes).mapInArrow(run, _BLOCKS)
+
+
+def _flat(rows: DataFrame) -> DataFrame:
+    return rows.select("archive", "idx", "gram", F.explode("ids").alias("entry_id"))
+
+
+def postings(entries: DataFrame, indexes: tuple[str, ...] = INDEXES) -> DataFrame:
+    """archive, idx, gram and entry_id, each once."""
+    return _flat(blocks(entries, indexes))
 
 
 def frequencies(entries: DataFrame, indexes: tuple[str, ...] = INDEXES, by_archive: bool = False) -> DataFrame:
@@ -94,20 +126,29 @@ def pruned_grams(posts: DataFrame, share: float = PRUNE_SHARE, least: int = PRUN
     return _too_frequent(posts.groupBy("archive", "idx", "gram").agg(F.count("*").alias("df")), docs, share, least)
 
 
-def write_index(entries: DataFrame, path: str, share: float = PRUNE_SHARE, least: int = PRUNE_LEAST) -> None:
-    """Stores postings under path: Parquet by index, clustered by gram, so a lookup reads the row groups of its grams alone; and the grams that were pruned, which lookups leave out of their count."""
+def write_index(entries: DataFrame, path: str, share: float = PRUNE_SHARE, least: int | None = None) -> None:
+    """Stores postings under path: Parquet by index, lists of ids clustered by gram, so a lookup reads the row groups of its grams alone.
+
+    All postings are stored, whatever the size. With ``least``, grams in at least so many of an archive's entries and that share of them are left out and recorded, and lookups don't count them:
+    a smaller index, which finds more than the query's entries, and none for queries of such grams alone.
+    """
     spark = entries.sparkSession
-    docs = entries.filter("is_front").groupBy("archive").agg(F.count("*").alias("docs")).withColumn("idx", F.explode(F.array(*map(F.lit, INDEXES))))
-    large = docs.filter(F.col("docs") >= least).select("archive").distinct()  # no gram of a smaller archive can be pruned
-    _too_frequent(frequencies(entries.join(large, "archive", "left_semi"), by_archive=True), docs, share, least).write.mode("overwrite").parquet(f"{path}/pruned")
-    pruned = spark.read.parquet(f"{path}/pruned")  # a few thousand grams an archive at most
-    kept = postings(entries).join(pruned, ["archive", "idx", "gram"], "left_anti")
-    kept.repartitionByRange("idx", "gram", "archive", "entry_id").sortWithinPartitions("idx", "gram", "archive", "entry_id").write.mode("overwrite").partitionBy("idx").parquet(f"{path}/postings")
+    kept = cut(blocks(entries))  # read twice: for the ranges and to be sorted
+    gone = spark.createDataFrame([], _PRUNED)
+    if least is not None:
+        docs = entries.filter("is_front").groupBy("archive").agg(F.count("*").alias("docs")).withColumn("idx", F.explode(F.array(*map(F.lit, INDEXES))))
+        gone = _too_frequent(kept.groupBy("archive", "idx", "gram").agg(F.sum(F.size("ids")).alias("df")), docs, share, least)
+    gone.write.mode("overwrite").parquet(f"{path}/pruned")
+    if least is not None:
+        kept = kept.join(spark.read.schema(_PRUNED).parquet(f"{path}/pruned"), ["archive", "idx", "gram"], "left_anti")  # a few thousand grams an archive at most
+    # the first id spreads a gram that most entries hold
+    kept = kept.withColumn("first", F.col("ids")[0])
+    kept.repartitionByRange("idx", "gram", "archive", "first").sortWithinPartitions("idx", "gram", "archive", "first").drop("first").write.mode("overwrite").partitionBy("idx").parquet(f"{path}/postings")
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Postings and pruned grams."""
-    return spark.read.schema(_POSTS).parquet(f"{path}/postings"), spark.read.parquet(f"{path}/pruned")
+    return _flat(spark.read.schema(_BLOCKS).parquet(f"{path}/postings")), spark.read.schema(_PRUNED).parquet(f"{path}/pruned")
 
 
 def query_grams(query: str) -> list[int]:

@@ -50,6 +50,23 @@ def test_pruned_grams_do_not_hide_hits(spark):
     assert [r.archive for r in search.lookup(posts, "common", pruned).filter("idx = 'title'").collect()] == ["c"]  # an archive of one prunes nothing
 
 
+def test_indexes_of_large_archives_are_whole(spark):
+    rows = spark.range(1200).selectExpr("'a' archive", "id entry_id", "concat('x/', id) path", "'common' title", "'text/plain' mime_type", "true is_front", "if(id % 3 = 0, 'common', 'commxmmon') content", "6L size")
+    path = scratch(spark, "index")
+    search.write_index(rows, path)
+    posts, pruned = search.read_index(spark, path)
+    assert pruned.isEmpty() and hits(search.search_index(posts, "common", None, pruned=pruned)) == hits(search.scan(rows, "common")) != set()
+    assert posts.filter(f"gram = {0x636F6D}").groupBy("idx").count().orderBy("idx").collect() == [("body", 1200), ("title", 1200)]
+
+
+def test_a_task_holds_few_rows_grams_at_once(monkeypatch):
+    b = search.pa.RecordBatch.from_pydict({"archive": ["a", "b", None, "a", "a", "a"], "content": ["x" * 9, None, "", "y" * 9, "z" * 30, "w"]})
+    whole = [x.content.tolist() for x in search._slices(b)]
+    assert whole == [["x" * 9, "y" * 9, "z" * 30, "w"], [None], [""]]
+    monkeypatch.setattr(search, "_SLICE", 10)
+    assert [x.content.tolist() for x in search._slices(b)] == [["x" * 9], [None], [""], ["y" * 9], ["z" * 30, "w"]]
+
+
 def test_non_ascii_case_and_cjk(spark):
     rows = spark.createDataFrame([("a", 1, "p", "École", "text/plain", True, "日本語", 1), ("a", 2, "q", "z", "text/html", True, "<p>中国</p>å本", 1), ("a", 3, "r", "w", "text/plain", True, None, 1), ("b", 1, "s", "日本", "image/png", False, "日本", 1)], E)
     posts = search.postings(rows).cache()
