@@ -137,6 +137,12 @@ def test_pruned_grams_are_recorded(spark, tmp_path):
     assert search.search_index(read("postings"), "shared", None, True, read("pruned")).count() == 0
 
 
+def test_indexes_of_large_files_are_whole():
+    rows = [(f"p{i}", "shared", "text/plain", b"%d" % i, True) for i in range(1100)]
+    a = A.Archive(A.build({}, rows))
+    assert a.pruned() == {} and len(A.parse_postings(a.load(a.section(A.SEARCH_TITLE)))[2][int.from_bytes(b"sha", "big")]) == 1100
+
+
 def test_damaged_files(spark, archive, tmp_path):
     (tmp_path / "good.car").write_bytes(archive)
     (tmp_path / "cut.car").write_bytes(archive[:150])
