@@ -4,8 +4,8 @@ Options: ``table`` (archives, metadata, mime, sections, entries, redirects, chun
 PERMISSIVE: damaged entry records are skipped), ``damaged`` (fail or skip: files and blobs that can't be read are left out, with a warning), ``verify`` (true: the file's and its sections'
 digests are checked before anything is read), ``tiers`` (of the table verify: file, section, entry), ``recursive``, ``suffix``, and the limits ``max_section``,
 ``max_blob`` and ``max_value``. The path may be a file, a folder or a pattern on a file system all executors see. The
-tables content and postings are read in several tasks a file, each for its own chunks or index; all others in one. A task reads the parts of a file that its table
-needs. Filters on archive, entry_id, path and mime_type choose the files, entries and chunks that are read.
+tables content, entries and verify are read in a task for each 64 MB of a file, each for its own chunks, and postings in one an index; all others in one a file. A task reads the parts of a file that its table
+needs. Filters on archive, entry_id, path, mime_type and gram choose the files, entries, chunks and lists that are read.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from __future__ import annotations
 import glob
 import os
 import re
+import shutil
+import uuid
 import warnings
 from collections.abc import Iterator
 
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
+from corvane.session import cut
 from corvane.sources import archive_format as A
 
 SCHEMAS = {
@@ -37,7 +40,10 @@ SCHEMAS = {
     "verify": "archive string, tier string, name string, expected string, computed string, ok boolean",
     "signatures": "archive string, nth int, public_key string, key_id long, valid boolean",
 }
-SPLITS = {"content": 8, "postings": 2}
+#: Bytes of a file for each task that reads it.
+_SPLIT = 64 << 20
+#: Bytes of content of a part that a task packs at once.
+_PART = 32 << 20
 INDEXES = ("title", "body")
 
 
@@ -76,10 +82,10 @@ class _Reader(DataSourceReader):
         self._wanted: dict[str, set] = {}
 
     def pushFilters(self, filters):
-        """Equality and IN on archive, entry_id, path and mime_type choose files, entries and so chunks to read; Spark still applies every filter."""
+        """Equality and IN on archive, entry_id, path, mime_type and gram choose files, entries and so chunks, and lists to read; Spark still applies every filter."""
         for f in filters:
             values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
-            if values is not None and len(f.attribute) == 1 and f.attribute[0] in ("archive", "entry_id", "path", "mime_type"):
+            if values is not None and len(f.attribute) == 1 and f.attribute[0] in ("archive", "entry_id", "path", "mime_type", "gram"):
                 name = f.attribute[0]
                 self._wanted[name] = self._wanted[name] & values if name in self._wanted else values
             yield f
@@ -88,11 +94,15 @@ class _Reader(DataSourceReader):
         return name not in self._wanted or value in self._wanted[name]
 
     def partitions(self):
-        n = SPLITS.get(self._table, 1)
         files = [f for f in self._files if self._is_wanted("archive", slug_of(f))]
-        if self._table == "content" and self._wanted.keys() & {"entry_id", "path"}:
-            n = 1  # a few blobs
-        return [_Part(f, k, n) for f in files for k in range(n)]
+        return [_Part(f, k, n) for f in files for n in [self._splits(f)] for k in range(n)]
+
+    def _splits(self, file: str) -> int:
+        if self._table == "postings":
+            return 2
+        if self._table not in ("content", "entries", "verify") or self._wanted.keys() & {"entry_id", "path"}:
+            return 1  # small, or a few entries
+        return 1 + os.path.getsize(file) // _SPLIT
 
     def read(self, part) -> Iterator[tuple]:
         if part is None:  # no file is wanted
@@ -124,46 +134,58 @@ class _Reader(DataSourceReader):
         for i, s in enumerate(a.sections):
             yield i, s.kind, A.NAMES.get(s.kind, f"UNKNOWN_{s.kind}"), s.offset, s.compressed_size, s.uncompressed_size, s.compression, s.dict_id, s.sha256.hex()
 
-    def _rows(self, a):
-        for i, r in enumerate(a.entries):
-            if r is not None and self._is_wanted("entry_id", i):
-                if r.mime >= len(a.mime):
-                    if self._strict:
-                        raise A.FormatError(f"entry {i} has MIME type {r.mime}")
-                    continue
-                path, mime = a.paths.get(i, ""), a.mime[r.mime]
-                if self._is_wanted("path", path) and self._is_wanted("mime_type", mime):
-                    yield i, r, path, a.titles.get(i, ""), mime
+    def _rows(self, a, part):
+        """The part's entries by chunk, so each chunk is read and decompressed once; only their keys are kept."""
+        import numpy as np
+
+        c = a.columns
+        mine = c["ok"] & (c["chunk"] % part.n == part.k)
+        if "entry_id" in self._wanted:
+            asked = np.zeros(len(mine), bool)
+            asked[[i for i in self._wanted["entry_id"] if i is not None and 0 <= i < len(mine)]] = True
+            mine &= asked
+        wanted = lambda i: i < len(mine) and mine[i]
+        paths, titles = a.keys(A.PATHS, wanted), a.keys(A.TITLES, wanted)
+        ids = np.flatnonzero(mine)
+        for i in ids[np.argsort(c["chunk"][ids], kind="stable")].tolist():
+            r = a.record(i)
+            if r.mime >= len(a.mime):
+                if self._strict:
+                    raise A.FormatError(f"entry {i} has MIME type {r.mime}")
+                continue
+            path, mime = paths.get(i, ""), a.mime[r.mime]
+            if self._is_wanted("path", path) and self._is_wanted("mime_type", mime):
+                yield i, r, path, titles.get(i, ""), mime
 
     def _entries(self, a, part):
-        for i, r, path, title, mime in self._rows(a):
+        for i, r, path, title, mime in self._rows(a, part):
             yield i, path, title, mime, r.front, r.chunk, r.offset, r.size, r.hash.hex()
 
     def _redirects(self, a, part):
+        led = lambda i: i >= A.REDIRECT_BIT
+        paths, titles = a.keys(A.PATHS, led), a.keys(A.TITLES, led)
         for i, (flags, target) in enumerate(a.redirects):
             tagged = i | A.REDIRECT_BIT
-            yield tagged, a.paths.get(tagged, ""), a.titles.get(tagged, ""), bool(flags & 1), target
+            yield tagged, paths.get(tagged, ""), titles.get(tagged, ""), bool(flags & 1), target
 
     def _chunks(self, a, part):
         for c in a.chunks:
             yield c.id, c.compression, c.dict_id, c.size, a.chunk_size(c)
 
     def _content(self, a, part):
-        # by chunk, so each is read and decompressed once
-        for i, r, path, title, mime in sorted(self._rows(a), key=lambda x: x[1].chunk):
-            if r.chunk % part.n == part.k:
-                try:
-                    blob = a.blob(r)
-                except A.FormatError:
-                    if self._skip:
-                        continue
-                    raise
-                yield i, path, title, mime, r.front, r.size, blob
+        for i, r, path, title, mime in self._rows(a, part):
+            try:
+                blob = a.blob(r)
+            except A.FormatError:
+                if self._skip:
+                    continue
+                raise
+            yield i, path, title, mime, r.front, r.size, blob
 
     def _postings(self, a, part):
         s = a.section((A.SEARCH_TITLE, A.SEARCH_BODY)[part.k])
         if s:
-            for gram, ids in A.parse_postings(a.load(s))[2].items():
+            for gram, ids in A.stream_postings(a.stream(s), self._wanted.get("gram")):
                 for i in ids:
                     yield INDEXES[part.k], gram, i
 
@@ -173,7 +195,7 @@ class _Reader(DataSourceReader):
                 yield idx, gram
 
     def _verify(self, a, part):
-        for tier, name, expected, computed in a.verify(self._tiers):
+        for tier, name, expected, computed in a.verify(self._tiers, part.k, part.n):
             yield tier, name, expected.hex(), computed.hex(), expected == computed
 
     def _signatures(self, a, part):
@@ -205,28 +227,75 @@ def read_archives(spark: SparkSession, path: str, table: str = "entries", **opti
     return spark.read.format("content-archive").options(table=table, **options).load(path)
 
 
-_KINDS = {"metadata": 0, "entry": 1, "redirect": 2}
-
-
 def write_archives(entries: DataFrame, out: str, suffix: str = ".car", metadata: DataFrame | None = None, redirects: DataFrame | None = None, strict: bool = False, **options) -> DataFrame:
     """Writes a file for each archive and returns archive, file and bytes.
 
-    An archive is one file, so one task writes it, archives side by side; its rows stream through the task in order, and finished chunks go to the task's disk.
+    Tasks of all executors compress and index stretches of ids, which they keep as parts of 32 MB of content in the folder ``.parts-...`` beside the files; digests are compared over an archive before,
+    so content is stored once. The parts are removed when the files are written, which is done when this returns. An archive is one file, so one task joins its parts, archives side by side: compressed chunks and lists of ids are passed through, not held.
     entries: archive, entry_id, path, title, mime_type, is_front, content; entries are numbered anew in the order of entry_id.
     metadata: archive, key, value; required keys that an archive lacks get defaults, or with ``strict`` fail the write, as a key that occurs twice always does.
     redirects: archive, redirect_id, path, target_id (an entry_id or a redirect_id of the archive), title and is_front if there; one whose target isn't there fails the write.
     Options as the builder's (search, prune, chunk_bytes, level, secrets, ...).
     """
     folder = re.sub("^file:(//)?", "", out)
+    work = f"{folder}/.parts-{uuid.uuid4().hex}"
+    os.makedirs(work, exist_ok=True)
+    spark = entries.sparkSession
     null = lambda kind: F.lit(None).cast(kind)
-    rows = entries.select("archive", F.lit(1).alias("kind"), F.col("entry_id").alias("id"), "path", "title", "mime_type", "is_front", F.col("content").cast("binary").alias("content"), null("long").alias("target"))
+    content = F.coalesce(F.col("content").cast("binary"), F.lit(b""))
+    rows = entries.select("archive", F.col("entry_id").alias("id"), F.lit(1).alias("kind"), "path", "title", "mime_type", "is_front", content.alias("content"))
+    digests = entries.select("archive", F.col("entry_id").alias("id"), F.unhex(F.sha2(content, 256)).alias("digest"))
+    copies = digests.groupBy("archive", "digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # before each entry whose content others have too: its digest, and whether it's the first
+    marks = digests.join(copies, ["archive", "digest"]).select("archive", "id", F.lit(0).alias("kind"), null("string").alias("path"), null("string").alias("title"), null("string").alias("mime_type"), (F.col("id") == F.col("first")).alias("is_front"), F.col("digest").alias("content"))
+    building = {k: v for k, v in options.items() if k not in ("secrets", "prune", "prune_least", "uuid")}
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = {"made": None}
+
+        def close():
+            if state["made"] is None:
+                return []
+            made, path = state["made"], state["path"]
+            made.save(path, state["ids"])
+            state["spool"].close()
+            state["made"] = None
+            return [(state["archive"], state["ids"][0], state["nth"], path)]
+
+        mark, first, nth = None, True, 0
+        for b in batches:
+            done = []
+            for archive, i, kind, path, title, mime, front, content in b.itertuples(index=False):
+                if kind == 0:
+                    if mark is None or mark[:2] != (archive, i):
+                        mark = (archive, i, {}, set())
+                    mark[2][bytes(content)] = bool(front)
+                    continue
+                if state["made"] is not None and (state["archive"] != archive or state["made"].content_bytes >= _PART or len(state["ids"]) >= 65536):
+                    done += close()
+                if state["made"] is None:
+                    at, nth = f"{work}/{uuid.uuid4().hex}", nth + 1
+                    state |= {"archive": archive, "path": at, "ids": [], "nth": nth, "spool": open(f"{at}.chunks", "w+b")}
+                    state["made"] = A.Builder(spool=state["spool"], **building)
+                known = mark[2] if mark is not None and mark[:2] == (archive, i) else {}
+                state["made"].add(path or "", title or "", mime or "application/octet-stream", bytes(content), front is not None and front == front and bool(front), {d for d, own in known.items() if not own}, set(known))
+                state["ids"].append(int(i))
+            if done:
+                yield pd.DataFrame(done, columns=["archive", "id", "nth", "path"])
+        if done := close():
+            yield pd.DataFrame(done, columns=["archive", "id", "nth", "path"])
+
+    packed = rows.unionByName(marks).repartitionByRange("archive", "id").sortWithinPartitions("archive", "id", "kind").mapInPandas(pack, "archive string, id long, nth int, path string")
+    columns = ("archive", "kind", "id", "nth", "path", "title", "is_front", "content", "target")
+    rows = cut(packed).select("archive", F.lit(1).alias("kind"), "id", "nth", "path", null("string").alias("title"), null("boolean").alias("is_front"), null("binary").alias("content"), null("long").alias("target"))
     if metadata is not None:
-        rows = rows.unionByName(metadata.select("archive", F.lit(0).alias("kind"), null("long").alias("id"), F.col("key").alias("path"), null("string").alias("title"), null("string").alias("mime_type"), null("boolean").alias("is_front"), F.col("value").cast("binary").alias("content"), null("long").alias("target")))
+        rows = rows.unionByName(metadata.select("archive", F.lit(0).alias("kind"), null("long").alias("id"), null("int").alias("nth"), F.col("key").alias("path"), null("string").alias("title"), null("boolean").alias("is_front"), F.col("value").cast("binary").alias("content"), null("long").alias("target")))
     if redirects is not None:
         own = lambda c, kind: F.col(c) if c in redirects.columns else null(kind)
-        rows = rows.unionByName(redirects.select("archive", F.lit(2).alias("kind"), F.col("redirect_id").alias("id"), "path", own("title", "string").alias("title"), null("string").alias("mime_type"), own("is_front", "boolean").alias("is_front"), null("binary").alias("content"), F.col("target_id").alias("target")))
+        rows = rows.unionByName(redirects.select("archive", F.lit(2).alias("kind"), F.col("redirect_id").alias("id"), null("int").alias("nth"), "path", own("title", "string").alias("title"), own("is_front", "boolean").alias("is_front"), null("binary").alias("content"), F.col("target_id").alias("target")))
 
-    def finish(name: str, made: A.Builder, numbers: dict, waiting: list) -> tuple:
+    def finish(name: str, made: A.Builder, paths: list, waiting: list) -> tuple:
+        import numpy as np
         from pyspark import TaskContext
 
         lacking = [k for k in ("title", "language", "creator", "date", "source") if not made.metadata.get(k, b"").strip()]
@@ -234,41 +303,51 @@ def write_archives(entries: DataFrame, out: str, suffix: str = ".car", metadata:
             raise ValueError(f"archive {name} lacks metadata: {', '.join(lacking)}")
         defaults = {"title": name, "language": "und", "creator": "unknown", "date": "1970-01-01", "source": name}
         made.metadata |= {k: defaults[k].encode() for k in lacking}
+        parts = [A.load_part(p) for p in paths]
+        ids = np.concatenate([np.zeros(0, np.int64), *(p["ids"] for p in parts)])  # in order, as the parts are
         redirect_ids = {i: k | A.REDIRECT_BIT for k, (i, *_) in enumerate(waiting)}
         for _, path, title, target, front in waiting:
-            goal = numbers.get(target, redirect_ids.get(target))
+            at = int(np.searchsorted(ids, target, "right")) - 1
+            goal = at if at >= 0 and ids[at] == target else redirect_ids.get(target)
             if goal is None:
                 raise ValueError(f"redirect {path} of archive {name} leads to {target}, which isn't there")
             made.redirect(path, title, goal, front)
         os.makedirs(folder, exist_ok=True)
         own, final = f"{folder}/.{name}-{TaskContext.get().taskAttemptId()}", f"{folder}/{name}{suffix}"
+        spools = [open(f"{p}.chunks", "rb") for p in paths]
         with open(own, "wb") as f:
-            size = made.write(f)
+            size = made.join(list(zip(parts, spools)), f)
+        for f in spools:
+            f.close()
         os.replace(own, final)
         return name, final, size
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, made, numbers, waiting = None, None, {}, []
+        name, made, paths, waiting = None, None, [], []
         for b in batches:
             done = []
-            for archive, kind, i, path, title, mime, front, content, target in b.itertuples(index=False):
+            for archive, kind, i, _, path, title, front, content, target in b.itertuples(index=False):
                 if archive != name or made is None:
                     if made is not None:
-                        done.append(finish(name, made, numbers, waiting))
-                    name, numbers, waiting = archive, {}, []
+                        done.append(finish(name, made, paths, waiting))
+                    name, paths, waiting = archive, [], []
                     made = A.Builder(uuid=A.hashlib.md5((name or "").encode()).digest(), **options)
-                front = front is not None and front == front and bool(front)
                 if kind == 0:
                     if path in made.metadata:
                         raise ValueError(f"archive {name} has metadata {path} twice")
                     made.metadata[path] = b"" if content is None else bytes(content)
                 elif kind == 1:
-                    numbers[int(i)] = made.add(path or "", title or "", mime or "application/octet-stream", b"" if content is None else bytes(content), front)
+                    paths.append(path)
                 else:
-                    waiting.append((int(i), path or "", title or "", int(target), front))
+                    waiting.append((int(i), path or "", title or "", int(target), front is not None and front == front and bool(front)))
             if done:
                 yield pd.DataFrame(done, columns=["archive", "file", "bytes"])
         if made is not None:
-            yield pd.DataFrame([finish(name, made, numbers, waiting)], columns=["archive", "file", "bytes"])
-
-    return rows.repartition("archive").sortWithinPartitions("archive", "kind", "id").mapInPandas(stream, "archive string, file string, bytes long")
+            yield pd.DataFrame([finish(name, made, paths, waiting)], columns=["archive", "file", "bytes"])
+
+    # a fixed number of tasks: there are few rows, which would be put together, but each stands for much work
+    n = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    try:
+        return cut(rows.select(*columns).repartition(n, "archive").sortWithinPartitions("archive", "kind", "id", "nth").mapInPandas(stream, "archive string, file string, bytes long"))
+    finally:
+        shutil.rmtree(work, ignore_errors=True)

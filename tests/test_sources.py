@@ -143,6 +143,47 @@ def test_indexes_of_large_files_are_whole():
     assert a.pruned() == {} and len(A.parse_postings(a.load(a.section(A.SEARCH_TITLE)))[2][int.from_bytes(b"sha", "big")]) == 1100
 
 
+def test_parts_make_one_archive(spark, tmp_path, monkeypatch):
+    """Rows of an archive are packed in many parts and tasks, and give what one builder gives."""
+    from corvane.operators import search
+    from corvane.sources import archive_source
+
+    monkeypatch.setattr(archive_source, "_PART", 500)
+    rows = [("x", 7 * i, f"d/{i % 7}/{i}", f"title {i % 5}", "text/html" if i % 3 else "text/plain", i % 4 > 0, f"<p>word{i % 40} {'z' * (i % 40)}</p>") for i in range(400)] + [("y", 1, "only", "one", "image/png", False, None)]
+    e = spark.createDataFrame(rows, "archive string, entry_id long, path string, title string, mime_type string, is_front boolean, content string").repartition(5)
+    r = spark.createDataFrame([("x", 9001, "led", 7 * 399), ("x", 9002, "hop", 9001)], "archive string, redirect_id long, path string, target_id long")
+    out = str(tmp_path / "out")
+    assert {x.archive for x in write_archives(e, out, redirects=r).collect()} == {"x", "y"} and sorted(f.name for f in (tmp_path / "out").iterdir()) == ["x.car", "y.car"]
+    a = A.Archive((tmp_path / "out" / "x.car").read_bytes())
+    whole = A.Archive(A.build({}, [(p, t, m, c.encode(), f) for _, _, p, t, m, f, c in rows[:400]], [("led", "", 399, False), ("hop", "", A.REDIRECT_BIT, False)]))
+    assert [(x.front, a.mime[x.mime], a.blob(x), x.hash) for x in a.entries] == [(x.front, whole.mime[x.mime], whole.blob(x), x.hash) for x in whole.entries]
+    assert len({(x.chunk, x.offset) for x in a.entries}) == len({(x.chunk, x.offset) for x in whole.entries}) == len({c for *_, c in rows[:400]})  # stored once
+    assert len(a.chunks) > len(whole.chunks) and a.paths == whole.paths and a.titles == whole.titles and a.redirects == whole.redirects and a.header.front_count == whole.header.front_count == 300
+    for kind in (A.SEARCH_TITLE, A.SEARCH_BODY):
+        assert A.parse_postings(a.load(a.section(kind))) == A.parse_postings(whole.load(whole.section(kind)))
+    assert all(x == y for *_, x, y in a.verify()) and sum(len(list(a.verify(k=k, n=3))) for k in range(3)) == len(list(a.verify()))
+    read = lambda t: read_archives(spark, out, t, suffix=".car")
+    monkeypatch.setattr(archive_source, "_SPLIT", 1000)
+    for name in ("content", "entries", "verify"):
+        reader = archive_source._Reader({"path": out, "table": name, "suffix": ".car", "tiers": "entry"})
+        parts = [list(reader.read(p)) for p in reader.partitions()]
+        assert len(parts) > 5 and sum(map(len, parts)) == 401 > max(map(len, parts))
+    assert search.search_index(read("postings"), "word1 ", None).count() == sum(f and "word1 " in c for *_, f, c in rows[:400]) > 0
+
+
+def test_columns_and_streams_agree_with_records(archive):
+    import io
+
+    a = A.Archive(archive)
+    assert [a.record(i) for i in range(len(a.entries))] == a.entries
+    large = A.Record(0, True, 300, 1 << 31, 1 << 40, 127, bytes(8))
+    c = {"front": [True], "mime": [300], "chunk": [1 << 31], "offset": [1 << 40], "size": [127], "hash": [[0] * 8]}
+    assert A.parse_entries(A.pack_entries([{k: A.np.array(v, A.np.uint8 if k == "hash" else None) for k, v in c.items()}])) == [large]
+    raw = a.load(a.section(A.SEARCH_BODY))
+    grams = A.parse_postings(raw)[2]
+    assert dict(A.stream_postings(io.BytesIO(raw))) == grams and dict(A.stream_postings(io.BytesIO(raw), {min(grams), -1})) == {min(grams): grams[min(grams)]}
+
+
 def test_damaged_files(spark, archive, tmp_path):
     (tmp_path / "good.car").write_bytes(archive)
     (tmp_path / "cut.car").write_bytes(archive[:150])
